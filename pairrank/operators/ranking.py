@@ -25,6 +25,16 @@ def _desc_key(score: str, ids: Sequence[str]) -> Column:
     )
 
 
+def has_crowded_group(df: DataFrame, by: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
+    """Whether any group is too large for one task: a map-side merged count of ``by`` alone."""
+    return not _crowded_groups(df, by, max_group_rows).isEmpty()
+
+
+def _crowded_groups(df: DataFrame, by: Sequence[str], max_group_rows: int) -> DataFrame:
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))
+    return counted.where(F.col("group_rows") > max_group_rows)
+
+
 def rank_within(
     df: DataFrame,
     by: Sequence[str],
@@ -33,25 +43,27 @@ def rank_within(
     running: Mapping[str, Column] | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
     sizes: DataFrame | None = None,
+    crowded: bool | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1..n by score descending, then ids) and running sums per group.
 
     The usual plan is one exchange on ``by`` and one sort. A group too large for
-    one task is detected first, from a partial-aggregated count that reads only
-    the ``by`` columns (``sizes`` may supply a cheaper source of the same rows);
-    only such groups then take the split plan of :func:`_rank_split`. Results are
-    the same either way.
+    one task is detected first, from a count that reads only the ``by`` columns
+    (``sizes`` may supply a cheaper source of the same rows; ``crowded`` says the
+    answer is already known); only such groups then take the split plan of
+    :func:`_rank_split`. Results are the same either way.
     """
     by, ids, running = list(by), list(ids), dict(running or {})
-    counted = (sizes if sizes is not None else df).groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))
-    hot = counted.where(F.col("group_rows") > max_group_rows)
-    if hot.isEmpty():
+    source = sizes if sizes is not None else df
+    if crowded is None:
+        crowded = has_crowded_group(source, by, max_group_rows)
+    if not crowded:
         return _rank_window(df, by, score, ids, running)
-    hot = hot.select(*by, "group_rows")
+    hot = _crowded_groups(source, by, max_group_rows)
     cold = _join_on(df, hot, by, "left_anti")
-    crowded = _join_on(df, hot, by, "inner")
+    packed = _join_on(df, hot, by, "inner")
     return _rank_window(cold, by, score, ids, running).unionByName(
-        _rank_split(crowded, by, score, ids, running, max_group_rows)
+        _rank_split(packed, by, score, ids, running, max_group_rows)
     )
 
 

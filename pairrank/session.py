@@ -14,9 +14,20 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM never compiles a method above 8,000 bytes of bytecode. Wide projections
+    # (twelve features, ten leaders) would stay interpreted inside one fused method;
+    # beyond this limit Spark runs them as separately compiled operators instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session somebody else created."""
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
