@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from pairrank.plans import q_fairness, q_pairs, q_ranking  # noqa: F401
+from pairrank.plans import q_explain, q_fairness, q_pairs, q_ranking  # noqa: F401
 from pairrank.plans.registry import ORACLES, QUERIES  # noqa: F401
