@@ -161,30 +161,57 @@ def match_contained(canonical: Column, vocabulary: Mapping[str, Sequence[str]])
     return result
 
 
-def lcs_similarity(text: Column, phrase: str) -> Column:
-    """``200 * LCS / (len(text) + len(phrase))`` against a literal phrase.
+# Canonical text is made of a blank, digits and lower-case letters: codes 32 to 122.
+_FIRST_CODE, _LAST_CODE = 32, 122
+
+
+def char_codes(canonical: Column) -> Column:
+    """Positions of the characters in the canonical alphabet, ready for :func:`lcs_similarity`."""
+    return F.transform(F.split(canonical, ""), lambda ch: F.ascii(ch) - _FIRST_CODE)
+
+
+def _mask_table(keys: Mapping[str, str]) -> Column:
+    """The vocabulary as one array literal: per key its code, length and character masks.
+
+    Written as a single SQL expression: the optimiser folds it into a constant.
+    """
+    rows = []
+    for order, (key, code) in enumerate(keys.items()):
+        if not 0 < len(key) <= 61:
+            raise ValueError("a vocabulary phrase must have 1 to 61 characters")
+        masks = [0] * (_LAST_CODE - _FIRST_CODE + 1)
+        for i, ch in enumerate(key):
+            masks[ord(ch) - _FIRST_CODE] |= 1 << i
+        listed = ", ".join(f"{m}L" for m in masks)
+        quoted = code.replace("\\", "\\\\").replace("'", "\\'")
+        rows.append(
+            f"named_struct('order', {-order}, 'code', '{quoted}', 'n', {len(key)}, "
+            f"'full', {(1 << len(key)) - 1}L, 'masks', array({listed}))"
+        )
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def lcs_similarity(codes: Column, key: Column) -> Column:
+    """``200 * LCS / (len(text) + len(key))`` of coded text against a mask-table entry.
 
     Bit-parallel longest common subsequence (Crochemore et al. 2001): one word of
-    state per phrase, one step per character of ``text``.
+    state per key, one indexed mask per character of the text.
     """
-    if not 0 < len(phrase) <= 61:
-        raise ValueError("phrase must have 1 to 61 characters")
-    full = (1 << len(phrase)) - 1
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(phrase):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    lookup = _literal_map({ch: F.lit(mask).cast("bigint") for ch, mask in masks.items()})
     state = F.aggregate(
-        F.split(text, ""),
-        F.lit(full).cast("bigint"),
-        lambda v, ch: _lcs_step(v, v.bitwiseAND(F.coalesce(F.try_element_at(lookup, ch), F.lit(0).cast("bigint"))), full),
+        codes,
+        key["full"],
+        lambda v, code: _lcs_step(v, v.bitwiseAND(F.get(key["masks"], code)), key["full"]),
     )
-    lcs = F.lit(len(phrase)) - F.bit_count(state)
-    return F.lit(200.0) * lcs / (F.length(text) + F.lit(len(phrase)))
+    return F.lit(200.0) * (key["n"] - F.bit_count(state)) / (F.size(codes) + key["n"])
+
+
+def _lcs_step(v: Column, hit: Column, full: Column) -> Column:
+    return (v + hit).bitwiseOR(v - hit).bitwiseAND(full)
 
 
-def _lcs_step(v: Column, hit: Column, full: int) -> Column:
-    return (v + hit).bitwiseOR(v - hit).bitwiseAND(F.lit(full).cast("bigint"))
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def match_fuzzy(
@@ -196,20 +223,27 @@ def match_fuzzy(
     text's cannot reach the threshold; those are skipped without computing it.
     """
     keys = canonical_keys(vocabulary)
-    candidates = []
-    n = F.length(canonical)
-    for order, (key, code) in enumerate(keys.items()):
-        bound = F.lit(200.0) * F.least(n, F.lit(len(key))) / (n + F.lit(len(key)))
-        similarity = F.when(bound >= threshold, lcs_similarity(canonical, key))
-        candidates.append(
-            F.struct(
-                F.when(similarity >= threshold, similarity).alias("similarity"),
-                F.lit(-order).alias("order"),
-                F.lit(code).alias("code"),
-            )
+
+    def best(codes: Column) -> Column:
+        n = F.size(codes)
+        scored = F.transform(
+            _mask_table(keys),
+            lambda key: F.struct(
+                F.when(
+                    F.lit(200.0) * F.least(n, key["n"]) / (n + key["n"]) >= threshold, lcs_similarity(codes, key)
+                )
+                .otherwise(0.0)
+                .alias("similarity"),
+                key["order"].alias("order"),
+                key["code"].alias("code"),
+            ),
         )
-    best = F.array_max(F.filter(F.array(*candidates), lambda c: c["similarity"].isNotNull()))
-    return F.when(n > 0, best["code"])
+        kept = F.filter(F.array(F.array_max(scored)), lambda w: w["similarity"] >= threshold)
+        return F.get(F.transform(kept, lambda w: w["code"]), F.lit(0))
+
+    longest = max(len(key) for key in keys)
+    reachable = F.length(canonical).between(1, int(longest * (200.0 - threshold) / threshold))
+    return F.when(reachable, _let(char_codes(canonical), best))
 
 
 def match_cascade(canonical: Column, vocabulary: Mapping[str, Sequence[str]]) -> Column:

@@ -93,9 +93,9 @@ def parse_profiles(docs: DataFrame, item: str, text: str = "text", vocabulary: V
         F.when(
             F.size("loose") > 0,
             F.transform(
-                "loose",
-                lambda b: F.struct(
-                    b.alias("entry"), tx.match_cascade(tx.canonical_text(b), v.certifications).alias("code")
+                F.transform("loose", lambda b: F.struct(b.alias("entry"), tx.canonical_text(b).alias("canonical"))),
+                lambda e: F.struct(
+                    e["entry"].alias("entry"), tx.match_cascade(e["canonical"], v.certifications).alias("code")
                 ),
             ),
         ),
