@@ -92,8 +92,8 @@ def _blocked_name(name: str) -> bool:
 
 def schema_guard(df: DataFrame, expected: T.StructType) -> DataFrame:
     """Reject unknown, missing or retyped columns; returns the frame in declared order."""
-    have = {f.name: f.dataType for f in df.schema.fields}
-    want = {f.name: f.dataType for f in expected.fields}
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    want = {f.name: f.dataType.simpleString() for f in expected.fields}
     unknown, missing = sorted(set(have) - set(want)), sorted(set(want) - set(have))
     retyped = sorted(n for n in set(have) & set(want) if have[n] != want[n])
     if unknown or missing or retyped:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairrank.functions.vocab import NUMBER_WORDS
+from pairrank.session import spread
 
 GATE = "PROMO"
 CRITICAL = ("PROMO",)
@@ -256,7 +257,7 @@ WORD_OF_NUMBER = {n: w for w, n in NUMBER_WORDS.items()}
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): one section-structured document per order."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     d = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     y = F.floor(F.col("o_totalprice") / 25000).cast("int")

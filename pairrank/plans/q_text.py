@@ -16,6 +16,7 @@ from pairrank.operators import extract as xt
 from pairrank.operators import monitor as mo
 from pairrank.plans.entities import TRUTH_SQL, WARNINGS_SQL, rendered, table, truth
 from pairrank.plans.registry import query
+from pairrank.session import spread
 
 CANON_SQL = "trim(regexp_replace({low}, '[^a-z0-9]+', ' ', 'g'))"
 
@@ -200,6 +201,10 @@ def parsed(spark, sf_dir):
     return xt.parse_profiles(rendered(spark, sf_dir), "doc_id")
 
 
+def corpus(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query(
     "extract_certs",
     f"""WITH {TRUTH_SQL} SELECT doc_id, array_to_string(true_certifications, '|') AS certifications,
@@ -269,7 +274,7 @@ def parse_profiles(spark, sf_dir):
 )
 def parse_corpus(spark, sf_dir):
     """The full extractor over free prose, long documents included."""
-    docs = table(spark, sf_dir, "documents")
+    docs = corpus(spark, sf_dir)
     profile = xt.parse_profiles(
         docs.withColumn("n_bullets", F.size(tx.bullets_of(tx.lines_of(F.col("text"))))), "doc_id", keep=["n_bullets"]
     )

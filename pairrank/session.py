@@ -66,3 +66,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a narrow input one partition per core before heavy per-row work.
+
+    A table smaller than the cluster (one file, one row group) would run in one
+    task. A large table already has more splits than cores and is left alone, so
+    no shuffle is added where it would cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
