@@ -252,13 +252,13 @@ def audit_report(audits: DataFrame, ranked: DataFrame, posting: str, attribute_o
     )
     failures = F.flatten(F.col("found.failures"))
     notes = F.flatten(F.col("found.inconclusive"))
-    return verdict.select(
+    return verdict.withColumn("extent", extent.select(F.struct("n_postings", "n_rows")).scalar()).select(
         "passes",
         F.when(F.size(failures) > 0, "fail").when(F.size(notes) > 0, "inconclusive").otherwise("pass").alias("state"),
         failures.alias("failures"),
         notes.alias("inconclusive"),
-        extent.select("n_postings").scalar().alias("n_postings"),
-        extent.select("n_rows").scalar().alias("n_rows"),
+        "extent.n_postings",
+        "extent.n_rows",
     )
 
 

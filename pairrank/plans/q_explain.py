@@ -13,8 +13,10 @@ from pairrank.operators import shortlist as sl
 from pairrank.plans.entities import FEATURES_SQL, GATE, pairs, table
 from pairrank.plans.q_pairs import KEYS, features, scored
 from pairrank.plans.registry import query
+from pairrank.session import materialise
 
 VERSION = "v1"
+REQUEST = "r1"
 ASKED = ["required_certifications", "min_years_experience", "shift_pattern", "site_type", "driving_required"]
 NAMES = ft.FEATURE_NAMES
 
@@ -34,9 +36,13 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY job_id, candidate_id ORDER
 
 
 def explained(spark, sf_dir, keep=()):
-    rows = scored(spark, sf_dir, [*KEYS, *keep])
-    means = ex.expected_terms(features(spark, sf_dir, KEYS))
-    return ex.attribute_additive(rows, means, [*KEYS, *keep, "score"])
+    """Contributions of every scored pair.
+
+    The scored features are written once: the expected terms and the explanation
+    both read them, and neither repeats the joins behind them.
+    """
+    rows = materialise(scored(spark, sf_dir, [*KEYS, *keep]), "scored")
+    return ex.attribute_additive(rows, ex.expected_terms(rows), [*KEYS, *keep, "score"])
 
 
 def _ordered(spark, sf_dir, keep=()):
@@ -272,10 +278,13 @@ shortlist AS (SELECT s.job_id, s.candidate_id, s.score, {GAPS_SQL} AS n_gaps, CA
 
 def shortlist(spark, sf_dir, rows=None):
     """Ranked pairs with the count of unstated facts and the private display name."""
-    rows = rows if rows is not None else scored(spark, sf_dir, KEYS).select(
-        *KEYS, "score", sum((F.col(n).isNull().cast("int") for n in NAMES[1:]), F.col(NAMES[0]).isNull().cast("int")).alias("n_gaps")
-    )
-    ranked = rk.rank_within(rows, ["job_id"], "score", ["candidate_id"], sizes=pairs(spark, sf_dir))
+    if rows is None:
+        gaps = sum((F.col(n).isNull().cast("int") for n in NAMES[1:]), F.col(NAMES[0]).isNull().cast("int"))
+        rows = scored(spark, sf_dir, KEYS).select(*KEYS, "score", gaps.alias("n_gaps"))
+        sizes = pairs(spark, sf_dir)
+    else:
+        sizes = rows
+    ranked = rk.rank_within(rows, ["job_id"], "score", ["candidate_id"], sizes=sizes)
     drafts = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("candidate_id"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).otherwise("").alias("display_name")
     )
@@ -303,10 +312,10 @@ def display_names(spark, sf_dir):
 )
 def sort_views(spark, sf_dir):
     """Where each row stands in the different orders of one shortlist."""
-    base = shortlist(spark, sf_dir).select(*KEYS, "rank", "n_gaps", (-F.col("score")).alias("neg_score"))
-    by_score = rk.rank_within(base.withColumnRenamed("rank", "at_rank"), ["job_id"], "neg_score", ["candidate_id"], sizes=pairs(spark, sf_dir))
+    base = materialise(shortlist(spark, sf_dir).select(*KEYS, "rank", "n_gaps", (-F.col("score")).alias("neg_score")), "shortlist")
+    by_score = rk.rank_within(base.withColumnRenamed("rank", "at_rank"), ["job_id"], "neg_score", ["candidate_id"], sizes=base)
     by_gaps = by_score.withColumnRenamed("rank", "at_score_asc").withColumn("gap_key", F.col("n_gaps").cast("double"))
-    placed = rk.rank_within(by_gaps, ["job_id"], "gap_key", ["at_rank", "candidate_id"], sizes=pairs(spark, sf_dir))
+    placed = rk.rank_within(by_gaps, ["job_id"], "gap_key", ["at_rank", "candidate_id"], sizes=base)
     return placed.select(*KEYS, "at_rank", "at_score_asc", F.col("rank").alias("at_gaps"))
 
 
@@ -330,6 +339,7 @@ def shortlist_summary(spark, sf_dir):
 
 
 def _full_shortlist(spark, sf_dir):
+    """Scored pairs with reasons, ranked and named: features are computed once, ranked once."""
     gaps = F.size(F.filter("contributions", lambda c: c["value"].isNull()))
     rows = _ordered(spark, sf_dir).select(
         *KEYS, "score", gaps.alias("n_gaps"), "contributions", "base_value",
@@ -344,16 +354,16 @@ def _full_shortlist(spark, sf_dir):
       CASE WHEN c_acctbal >= 0 THEN c_name ELSE '' END AS display_name,
       row_number() OVER (PARTITION BY s.job_id ORDER BY s.score DESC, s.candidate_id) AS rank
       FROM scored s JOIN reasons r ON s.job_id = r.job_id AND s.candidate_id = r.candidate_id JOIN customer ON c_custkey = s.candidate_id),
-    lines AS (SELECT job_id, rank + 4 AS line_no, rank || ',' || candidate_id || ',' || display_name || ',' || format('{{:.4f}}', score) || ',relative_within_posting,' || n_gaps || ','
+    lines AS (SELECT job_id, rank + 4 AS line_no, rank || ',' || candidate_id || ',' || display_name || ',' || format('{{:.4f}}', score) || ',relative_ranking_score,' || n_gaps || ','
       || CASE WHEN contains(reasons, ',') THEN '"' || reasons || '"' ELSE reasons END AS line FROM named
-    UNION ALL SELECT DISTINCT job_id, 1, 'DISCLAIMER: Relative ordering within one posting. Not a hiring decision.' FROM named
-    UNION ALL SELECT DISTINCT job_id, 2, 'Posting ' || job_id || ' · model v1. Scores are relative to this posting only and are not comparable with any other.' FROM named
+    UNION ALL SELECT DISTINCT job_id, 1, 'DISCLAIMER: {sl.DISCLAIMER}' FROM named
+    UNION ALL SELECT DISTINCT job_id, 2, 'Posting ' || job_id || ' · model v1 · request r1. Scores are relative to this posting only and are not comparable with any other.' FROM named
     UNION ALL SELECT DISTINCT job_id, 3, '' FROM named
     UNION ALL SELECT DISTINCT job_id, 4, 'rank,reference,name,score,score_type,cv_gaps,reasons' FROM named)
     SELECT job_id, line_no, line FROM lines""",
 )
 def shortlist_csv(spark, sf_dir):
-    return sl.shortlist_csv(_full_shortlist(spark, sf_dir), "job_id", VERSION)
+    return sl.shortlist_csv(_full_shortlist(spark, sf_dir), "job_id", VERSION, REQUEST)
 
 
 @query(
@@ -371,8 +381,8 @@ def export_name(spark, sf_dir):
     f"""WITH {REASONS_SQL}, named AS (SELECT s.job_id, s.candidate_id, s.score, {GAPS_SQL} AS n_gaps, reasons,
       row_number() OVER (PARTITION BY s.job_id ORDER BY s.score DESC, s.candidate_id) AS rank
       FROM scored s JOIN reasons r ON s.job_id = r.job_id AND s.candidate_id = r.candidate_id)
-    SELECT job_id, rank, candidate_id, format('{{:.4f}}', score) AS score, 'relative_within_posting' AS score_type, n_gaps, 12 AS n_contributions, reasons,
-    'Relative ordering within one posting. Not a hiring decision.' AS disclaimer, 'v1' AS model_version FROM named""",
+    SELECT job_id, rank, candidate_id, format('{{:.4f}}', score) AS score, 'relative_ranking_score' AS score_type, n_gaps, 12 AS n_contributions, reasons,
+    '{sl.DISCLAIMER}' AS disclaimer, 'v1' AS model_version FROM named""",
 )
 def rank_response(spark, sf_dir):
     """The final shortlist rows: one plan from pairs to explained, ranked answers."""

@@ -29,6 +29,7 @@ from pairrank.plans.entities import (
     table,
 )
 from pairrank.plans.registry import query
+from pairrank.session import materialise
 from pairrank.sources import tables as tb
 
 KEYS = ["job_id", "candidate_id"]
@@ -179,7 +180,7 @@ def blocked_columns(spark, sf_dir):
     return gd.blocked_columns(names)
 
 
-@query("assert_clean")
+@query("assert_clean", f"WITH {PAIRED_SQL} SELECT job_id, count(*) AS n_pairs FROM paired GROUP BY job_id")
 def assert_clean(spark, sf_dir):
     """The guard passes over the real feature frame and then lets it through unchanged."""
     frame = features(spark, sf_dir)
@@ -199,10 +200,10 @@ def baseline_score(spark, sf_dir):
     return scored(spark, sf_dir).select(*KEYS, round6("score").alias("score"))
 
 
-@query("score_single", f"WITH {FEATURES_SQL} SELECT {BASELINE_COLUMNS}, 'relative_within_posting' AS score_type FROM scored")
+@query("score_single", f"WITH {FEATURES_SQL} SELECT {BASELINE_COLUMNS}, 'relative_ranking_score' AS score_type FROM scored")
 def score_single(spark, sf_dir):
     """Pairs scored one by one: no window, no rank column."""
-    return scored(spark, sf_dir).select(*KEYS, round6("score").alias("score"), F.lit("relative_within_posting").alias("score_type"))
+    return scored(spark, sf_dir).select(*KEYS, round6("score").alias("score"), F.lit("relative_ranking_score").alias("score_type"))
 
 
 FIT_SQL = f"""{PAIRED_SQL},
@@ -302,23 +303,28 @@ def lambda_gradients(spark, sf_dir):
     return found.select("job_id", *RANK_IDS, "score", round6("gradient").alias("gradient"), round6("hessian").alias("hessian"))
 
 
+def _sides(spark, sf_dir):
+    """Train and held-out postings, from features written once."""
+    return tr.train_valid(materialise(features(spark, sf_dir), "features"), "job_id", seed=42)
+
+
 @query("rank_boost_fit")
 def rank_boost_fit(spark, sf_dir):
     """A short fit on the pair features; its validation quality per round."""
-    train, valid = tr.train_valid(features(spark, sf_dir), "job_id", seed=42)
+    train, valid = _sides(spark, sf_dir)
     return tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"], tr.BoostSettings(max_rounds=3, patience=3)).history
 
 
 @query("grid_select")
 def grid_select(spark, sf_dir):
-    train, valid = tr.train_valid(features(spark, sf_dir), "job_id", seed=42)
+    train, valid = _sides(spark, sf_dir)
     grid = {"max_leaves": (7, 15), "learning_rate": (0.1,), "min_rows_in_leaf": (20,)}
     return tr.grid_select(train, valid, "job_id", ["candidate_id"], grid, max_rounds=1).trials
 
 
 @query("predict_scores")
 def predict_scores(spark, sf_dir):
-    train, valid = tr.train_valid(features(spark, sf_dir), "job_id", seed=42)
+    train, valid = _sides(spark, sf_dir)
     model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"], tr.BoostSettings(max_rounds=2, patience=2)).model
     return tr.predict_scores(model, valid).select(*KEYS, round6("score").alias("score"))
 
@@ -326,7 +332,7 @@ def predict_scores(spark, sf_dir):
 @query("attribute_trees")
 def attribute_trees(spark, sf_dir):
     """Shapley contributions of a fitted ensemble for every held-out pair, with the additivity gap."""
-    train, valid = tr.train_valid(features(spark, sf_dir), "job_id", seed=42)
+    train, valid = _sides(spark, sf_dir)
     model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"], tr.BoostSettings(max_rounds=2, patience=2)).model
     explained = tr.attribute_trees(model, tr.predict_scores(model, valid))
     total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
@@ -441,9 +447,26 @@ def critical_codes(spark, sf_dir):
 
 
 @query(
-    "evaluate_baseline",
-    None,
+    "has_code",
+    f"WITH {PROFILES_SQL} SELECT candidate_id, list_contains(certifications, 'PROMO') AS has_code FROM profiles",
 )
+def has_code(spark, sf_dir):
+    return profiles(spark, sf_dir).select("candidate_id", F.array_contains("certifications", GATE).alias("has_code"))
+
+
+BASELINE_SQL = f"""WITH {FEATURES_SQL},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank,
+  row_number() OVER (PARTITION BY job_id ORDER BY grade DESC, candidate_id) AS best FROM scored),
+hit AS (SELECT *, sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY rank) AS hits FROM ordered),
+per AS (SELECT job_id, coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= 5), 0) AS d5, coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS d10,
+  coalesce(sum((2 ** grade - 1) / log2(best + 1)) FILTER (best <= 5), 0) AS i5, coalesce(sum((2 ** grade - 1) / log2(best + 1)) FILTER (best <= 10), 0) AS i10,
+  coalesce(sum(hits / CAST(rank AS DOUBLE)) FILTER (grade >= 2), 0) AS p, count(*) FILTER (grade >= 2) AS nr, min(rank) FILTER (grade >= 2) AS f FROM hit GROUP BY job_id)
+SELECT round(avg(CASE WHEN i5 > 0 THEN d5 / i5 ELSE 0 END), 6) AS ndcg_at_5, round(avg(CASE WHEN i10 > 0 THEN d10 / i10 ELSE 0 END), 6) AS ndcg_at_10,
+  round(avg(CASE WHEN nr > 0 THEN p / nr ELSE 0 END), 6) AS mean_average_precision, round(avg(coalesce(1.0 / f, 0)), 6) AS mean_reciprocal_rank, count(*) AS n_groups,
+  avg(CASE WHEN i10 > 0 THEN d10 / i10 ELSE 0 END) > 0.95 AS circularity_suspected FROM per"""
+
+
+@query("evaluate_baseline", BASELINE_SQL)
 def evaluate_baseline(spark, sf_dir):
     """The rule scorer measured on the labelled pairs."""
     metrics = rk.posting_metrics(scored(spark, sf_dir), ["job_id"], "score", ["candidate_id"], sizes=pairs(spark, sf_dir))

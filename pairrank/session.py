@@ -68,6 +68,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write once to the shared folder, read many times.
+
+    Cheaper than recomputing a many-join frame for each of its readers, safe when
+    executors are lost, and - being a columnar table - still pruned and sized by
+    Catalyst for every reader.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a narrow input one partition per core before heavy per-row work.
 

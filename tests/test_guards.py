@@ -115,11 +115,12 @@ def test_four_orders(spark):
 
 
 def test_csv_export(spark, tmp_path):
-    lines = sl.shortlist_csv(shortlist(spark), "job_id", "v1")
+    lines = sl.shortlist_csv(shortlist(spark), "job_id", "v1", "r7")
     text = [r["line"] for r in lines.orderBy("line_no").collect()]
     assert text[0].startswith("DISCLAIMER: ")
-    assert text[2:5] == ["", sl.CSV_HEADER, "1,c1,ann.pdf,2.0000,relative_within_posting,0,one | two"]
-    assert text[6] == '3,c3,"B, ""x"".txt",1.0000,relative_within_posting,1,one | two'
+    assert "model v1 · request r7. " in text[1]
+    assert text[2:5] == ["", sl.CSV_HEADER, "1,c1,ann.pdf,2.0000,relative_ranking_score,0,one | two"]
+    assert text[6] == '3,c3,"B, ""x"".txt",1.0000,relative_ranking_score,1,one | two'
     sl.write_csv_lines(lines, "job_id", str(tmp_path / "out"))
     parts = sorted((tmp_path / "out" / "job_id=j").glob("part-*"))
     written = b"".join(p.read_bytes() for p in parts)
