@@ -20,6 +20,12 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+#: Options that only a new session can take.
+LAUNCH_CONF = {
+    # Recording a Python stack for every column expression costs more than building it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
@@ -32,7 +38,7 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **LAUNCH_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
