@@ -19,7 +19,7 @@ SPELLING = (
 ACRONYM_DOT = r"(?:\G(?!^)|(?<![\p{L}\p{N}_])(?=(?:[a-z]\.){2}))([a-z])\."
 NON_ALNUM = r"[^a-z0-9]+"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+OUTER_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 HEADING = r"^[A-Z][A-Z &]{2,}$"
 BULLET = r"^[-•*]\s*(.+)$"
 FUZZY_THRESHOLD = 88.0

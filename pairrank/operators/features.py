@@ -118,8 +118,10 @@ def check_contract(names: Sequence[str]) -> None:
 
 
 def to_vector(features: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Canonical positional vector; nulls stay null."""
-    check_contract([c for c in FEATURE_NAMES if c in features.columns] + [c for c in features.columns if c not in keep and c not in FEATURE_NAMES])
+    """Canonical positional vector; nulls stay null. Missing or unexpected columns are an error."""
+    names = [c for c in features.columns if c not in keep]
+    if set(names) != set(FEATURE_NAMES):
+        check_contract(names)
     return features.select(*keep, F.array(*FEATURE_NAMES).alias("vector"))
 
 

@@ -185,11 +185,8 @@ _WATCHED = " ".join(f"WHEN '{f}' THEN '{a.replace(chr(39), chr(39) * 2)}'" for f
 )
 def proxy_report(spark, sf_dir):
     importance = ex.global_importance(explained(spark, sf_dir)).select("feature", "importance")
-    return gd_report(importance).select("feature", round6("importance").alias("importance"), "watched", "leaks")
-
-
-def gd_report(importance):
-    return ft.proxy_report(importance, gd.PROXY_REGISTER)
+    report = ft.proxy_report(importance, gd.PROXY_REGISTER)
+    return report.select("feature", round6("importance").alias("importance"), "watched", "leaks")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ def write_dataset(tables: Mapping[str, DataFrame], root: str, fmt: str = "parque
         df.write.mode("errorifexists").format(fmt).save(f"{root}/{name}")
 
 
-def canonical_set(column) -> F.Column:
+def canonical_set(column: Column) -> Column:
     """Sorted and distinct, so that what is written or hashed is stable."""
     return F.array_sort(F.array_distinct(column))
 

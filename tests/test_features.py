@@ -136,3 +136,19 @@ def test_noise_rate_is_close_and_clamped(spark):
     row = noisy.agg(F.avg((F.col("noisy") != F.col("grade")).cast("double")), F.min("noisy"), F.max("noisy")).first()
     assert 0.07 < row[0] < 0.11  # 12% drawn, a quarter of which is clamped back
     assert (row[1], row[2]) == (0, 3)
+
+
+def test_vector_follows_the_contract_whatever_the_column_order(spark):
+    built = ft.build_features(pair(spark), GATE, [GATE], ["candidate_id"])
+    shuffled = built.select("candidate_id", *ft.FEATURE_NAMES[::-1])
+    assert ft.to_vector(shuffled, ["candidate_id"]).first()["vector"] == list(built.select(*ft.FEATURE_NAMES).first())
+    with pytest.raises(ValueError, match="set differs"):
+        ft.to_vector(built.drop("exp_gap"), ["candidate_id"])
+
+
+def test_contract_diff_names_both_sides(spark):
+    listed = lambda names: spark.createDataFrame(list(enumerate(names)), "position INT, name STRING")
+    diff = lambda a, b: tuple(ft.contract_diff(listed(a), listed(b)).first())
+    assert diff("abc", "abc") == ("identical", [], [])
+    assert diff("abc", "acb") == ("order differs", [], [])
+    assert diff("abc", "abd") == ("set differs", ["c"], ["d"])
