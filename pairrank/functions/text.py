@@ -19,7 +19,10 @@ SPELLING = (
 ACRONYM_DOT = r"(?:\G(?!^)|(?<![\p{L}\p{N}_])(?=(?:[a-z]\.){2}))([a-z])\."
 NON_ALNUM = r"[^a-z0-9]+"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-OUTER_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 HEADING = r"^[A-Z][A-Z &]{2,}$"
 BULLET = r"^[-•*]\s*(.+)$"
 FUZZY_THRESHOLD = 88.0
@@ -30,7 +33,7 @@ MAX_LITERAL_PHRASES = 2_000
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def canonical_text(text: Column) -> Column:

@@ -134,5 +134,7 @@ def test_drift_skips_nulls_and_single_values(spark):
 
 
 def test_strip_covers_all_white_space(spark):
-    df = spark.createDataFrame([("  x \n",)], "t STRING")
-    assert df.select(strip(F.col("t"))).first()[0] == "x"
+    texts = [" \u2003\tx y\u00a0\n", "\x1c\x85é ü\u3000", "\u2028\u2029", "plain", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = [r["s"] for r in df.select("i", strip(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [t.strip() for t in texts]
