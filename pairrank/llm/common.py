@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: A-Z to a-z and nothing else.
 FOLD = {code: code + 32 for code in range(65, 91)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The ASCII characters that no word holds.
+OTHER = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 #: A run of ASCII digits, small ASCII letters and everything above ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,14 +44,14 @@ def add_fields(df: DataFrame, struct: Column, fields: list[str]) -> DataFrame:
     )
 
 
-def fold(text: Column) -> Column:
-    """A-Z lower-cased, every other character as it is; null stays null.
+def words(text: Column) -> Column:
+    """The words of a text (``WORD``) after A-Z are lower-cased; null has none.
 
-    ``lower`` is much faster than ``translate`` and does the same where all is ASCII.
+    One ``translate`` folds the letters and blanks out the other ASCII characters; cutting
+    at single blanks is several times faster than a regular expression.
     """
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
-        F.translate(text, UPPER, LOWER)
-    )
+    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + OTHER, LOWER + " " * len(OTHER)), " ")
+    return F.array_remove(parts, "")
 
 
 def held_out(doc_id: Column) -> Column:
