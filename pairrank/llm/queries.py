@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import bpe, decontaminate, licences, quality, shards, simhash, topk, toxicity
+from pairrank.llm import bpe, decontaminate, licences, quality, shards, simhash, topk, toxicity, warc, webpages
 from pairrank.llm.common import held_out, load, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,33 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"), "doc_id", "text").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS n, sha1(body) || '0' AS h FROM p
+), k AS (
+  SELECT page_id, n, array_to_string(list_transform(range(32), i ->
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+      ((strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) * 16
+       + strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1)
+      // CAST(power(2, 3 - (5 * i) % 4) AS BIGINT) % 32 AS INTEGER), 1)), '') AS digest
+  FROM d
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM k)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op4_warc", OP4_SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+@query("op1_html")
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extract(load(spark, sf_dir, "pages"), "page_id", "url", "html")
