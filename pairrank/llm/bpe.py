@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pairrank.llm.common import add_fields
 
@@ -55,6 +56,8 @@ class Codec:
         self.coded: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
         self.forget()
+        self.spec, self.library = spec, None
+        self.old: set[str] = set()
 
     def forget(self) -> None:
         """Empty what the task remembers, but for the special tokens."""
@@ -170,6 +173,14 @@ class Codec:
             self.decoded[word] = b" ".join([text[i] for i in listed[start:end]])
             start = end
 
+    def _split_young(self, text: str) -> list[str]:
+        """Pieces of a text with characters unknown to this Python: the library knows their classes and cases."""
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.spec)
+        normal = self.library.normalizer.normalize_str(text)
+        byte = {letter: b for b, letter in enumerate(byte_letters())}
+        return [bytes(byte[x] for x in piece).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text, special tokens written out in it among them."""
         out: list[str] = []
@@ -179,6 +190,11 @@ class Codec:
                 out.append(part)
                 continue
             if not part.isascii():
+                fresh = set(part) - self.old
+                if any(unicodedata.category(c) == "Cn" for c in fresh):
+                    out += self._split_young(part)
+                    continue
+                self.old |= fresh
                 part = SPACES.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ")
             out += self.pieces.findall(part.lower())
         return out

@@ -105,8 +105,12 @@ class Scanner:
         sequences = [t.split() for t in [*phrases, *(t for _, t in templates)]]
         self.sizes, self.n_phrases = [len(s) for s in sequences], len(phrases)
         self.automaton = Automaton(sequences)
-        # Phrases that end where a match of this state ends, if the match is as long as they are.
-        self.whole = [[n for n, end in e if n < self.n_phrases and end == self.sizes[n]] for e in self.automaton.ends]
+        # Phrases that end where a match of this state ends: whole in the state or in one of its suffixes.
+        made = self.automaton
+        self.whole: list[list[int]] = [[] for _ in made.length]
+        for state in sorted(range(1, len(made.length)), key=made.length.__getitem__):
+            own = {n for n, end in made.ends[state] if n < self.n_phrases and end == self.sizes[n] <= made.length[state]}
+            self.whole[state] = sorted(own.union(self.whole[made.link[state]]))
 
     def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, float]]]:
         """Phrase places (start, phrase) and covered spans (template, first word, end, share)."""

@@ -24,8 +24,11 @@ PIECE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -65,10 +68,9 @@ def grams(text: str) -> Iterator[np.ndarray]:
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
         if len(edge):
             start, stop = edge[::2], edge[1::2]
-            # Horner's rule over the letters; a blank takes its place in the sum but is not in any word.
-            power = _powers(own + 1)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * power[:own], dtype=np.uint64)))
-            word = (total[stop] - total[start]) * power[own - start]
+            # A polynomial of the letters; the inverse power takes the word's place out of its hash.
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * _powers(_BASE, own), dtype=np.uint64)))
+            word = (total[stop] - total[start]) * _powers(_INVERSE, own)[start]
             yield _bucket(word, 11)
             both = np.concatenate((last, word))
             pair = both[:-1] * np.uint64(31) + both[1:]
