@@ -119,8 +119,7 @@ REFERENCE_YEAR = 2026
 MAX_TEXT_LENGTH = 20_000
 
 # Patterns.
-YEARS_TAIL = r"years?['’]?\s*(?:of\s+)?(?:security\s+)?(?:experience|in\s+the\s+security|in\s+security)"
-YEARS_DIGITS = r"(?iU)(\d{1,2}(?:\.\d)?)\s*\+?\s*" + YEARS_TAIL
+YEARS_DIGITS = r"(?iU)(\d{1,2}(?:\.\d)?)\s*\+?\s*years?['’]?\s*(?:of\s+)?(?:security\s+)?(?:experience|in\s+the\s+security|in\s+security)"
 YEARS_WORDS = (
     r"(?iU)\b(" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")\s+years?\s+(?:of\s+)?(?:security\s+)?experience"
 )

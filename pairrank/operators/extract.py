@@ -29,8 +29,8 @@ class Vocabulary:
 
 
 def text_quarantine(docs: DataFrame, text: str = "text", limit: int = V.MAX_TEXT_LENGTH) -> DataFrame:
-    """Add ``reason``: empty, too_long, or null for documents that pass."""
-    stripped = tx.strip(F.col(text))
+    """Add ``reason``: empty (a null text too), too_long, or null for documents that pass."""
+    stripped = tx.strip(F.coalesce(F.col(text), F.lit("")))
     return docs.withColumn(
         "reason", F.when(F.length(stripped) == 0, "empty").when(F.length(stripped) > limit, "too_long")
     )

@@ -27,24 +27,23 @@ SENSITIVE_KEYS = (
 )
 REDACTED = "[redacted]"
 
-# Watched features, what they may carry and what is done about it.
+# Features that are watched: what they might reveal, and how that is held in check.
 PROXY_REGISTER = {
     "recency_months": (
-        "Career breaks, which correlate with parental leave and therefore with gender.",
-        "Capped at 240 months. Monitored in the fairness audit; a widening group gap here is a signal to bucket or drop it.",
+        "Long pauses between jobs are more common after parental leave, so this may stand in for gender.",
+        "Limited to 240 months; compare its group means in every audit, and coarsen or remove it if they drift apart.",
     ),
     "role_count": (
-        "Correlates with age — more prior roles implies a longer career.",
-        "Capped at 6, which flattens the top of the distribution where the age signal is strongest.",
+        "People who have worked longer have held more roles, so this may stand in for age.",
+        "Limited to 6, so that long careers, where the link is closest, look alike.",
     ),
     "exp_gap": (
-        "Correlates with age for the same reason as role_count.",
-        "Retained. Experience relative to a stated job requirement is directly job-relevant and legally defensible, "
-        "so the correct response is monitoring rather than removal.",
+        "Years of experience rise with age.",
+        "Kept, because postings ask for experience as such; its effect per group is reported.",
     ),
     "shift_match": (
-        "Availability correlates with caring responsibilities, which correlate with gender.",
-        "Monitored closely. This is the known worst case rather than a hypothetical one.",
+        "Those who look after others can take fewer shifts, and that differs by gender.",
+        "Kept under watch in every audit, as the most likely source of a gap.",
     ),
 }
 

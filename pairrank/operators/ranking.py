@@ -17,9 +17,10 @@ CIRCULARITY_LIMIT = 0.95
 
 
 def _desc_key(score: str, ids: Sequence[str]) -> Column:
-    """A struct whose ascending order is score descending (nulls last), then ids."""
+    """A struct whose ascending order is that of the rank window: NaN first, score descending, nulls last, then ids."""
     return F.struct(
         F.col(score).isNull().alias("absent"),
+        (~F.coalesce(F.isnan(score), F.lit(False))).alias("number"),
         (-F.col(score)).alias("negated"),
         *[F.col(i) for i in ids],
     )

@@ -106,3 +106,14 @@ def test_comparison_verdict(spark):
     assert row["ndcg_at_10_delta"] == pytest.approx(0.1)
     assert row["ndcg_at_10_lift"] == pytest.approx(0.125)
     assert row["model_beats_baseline"]
+
+
+def test_split_plan_orders_as_the_window(spark):
+    from pairrank.operators.ranking import rank_within
+
+    nan, inf = float("nan"), float("inf")
+    rows = [("p", i, s) for i, s in enumerate([nan, 1.0, None, inf, -inf, 0.0, -0.0, nan, None, 1.0] * 4)]
+    df = spark.createDataFrame(rows, "job string, id int, score double")
+    whole = rank_within(df, ["job"], "score", ["id"]).select("id", "rank").orderBy("id").collect()
+    split = rank_within(df, ["job"], "score", ["id"], max_group_rows=5).select("id", "rank").orderBy("id").collect()
+    assert whole == split
