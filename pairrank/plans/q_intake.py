@@ -323,12 +323,12 @@ def latency_histogram(spark, sf_dir):
 
 @query(
     "embedding_vectors",
-    "SELECT 'e' || i AS feature, count(*) AS n, round(avg(embedding[i]), 5) AS mean FROM embeddings, range(1, 13) t(i) GROUP BY i",
+    "SELECT 'e' || i AS feature, count(*) AS n, round(avg(embedding[i]), 5) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY i",
 )
 def embedding_vectors(spark, sf_dir):
-    """Drift snapshot over nested vectors: twelve positions read as features."""
-    names = [f"e{i}" for i in range(1, 13)]
-    rows = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(12)])
+    """Drift snapshot over nested vectors: all 64 positions read as features."""
+    names = [f"e{i}" for i in range(1, 65)]
+    rows = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(64)])
     return mo.feature_drift_snapshot(rows, names).select("feature", "n", F.round("mean", 5).alias("mean"))
 
 
