@@ -61,37 +61,60 @@ def matches(docs: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     words around the rarest word, whose place ``start`` then is.
     """
     index = materialise(anchored(docs, windows), "anchors")
-    # No word holds the character zero: as first word and as an anchor it brings every text through the join once.
-    mark = F.lit("\0")
-    every = index.limit(0).unionByName(
-        docs.sparkSession.range(1).select(
-            F.lit(None).cast("array<string>").alias("window"), mark.alias("anchor"), F.lit(0).alias("offset"), mark.alias("second"), F.lit(0).alias("step")
+    size = index.agg(F.count("*").alias("n"), F.max(F.size("window")).alias("widest")).first()
+    texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("words"))
+    if size["n"] <= BROADCAST_ROWS:
+        # No word holds the character zero: as first word and as an anchor it brings every text through the join once.
+        mark = F.lit("\0")
+        every = index.limit(0).unionByName(
+            docs.sparkSession.range(1).select(
+                F.lit(None).cast("array<string>").alias("window"), mark.alias("anchor"), F.lit(0).alias("offset"), mark.alias("second"), F.lit(0).alias("step")
+            )
         )
+        index = F.broadcast(materialise(index.unionByName(every), "index"))
+        postings = texts.select("doc_id", "digest", "words", F.posexplode(F.concat(F.array(mark), "words")).alias("place", "term"))
+        found = F.col("window").isNull() | _stands(F.col("words"), F.col("place") - 1, slop)
+        return _found(postings.withColumn("n_words", F.size("words")).join(index, _same_term("term", "anchor") & found), F.col("place") - 1, slop)
+    # A posting that is shuffled takes the words around its place along, not the whole text.
+    reach = (size["widest"] or 1) + (slop or 0)
+    postings = texts.select("doc_id", "digest", "words", F.size("words").alias("n_words"), F.posexplode("words").alias("place", "term")).select(
+        "doc_id", "digest", "n_words", "place", "term",
+        F.slice("words", F.greatest(F.col("place") - reach + 1, F.lit(0)) + 1, 2 * reach - 1).alias("around"),
+    )
+    found = _stands(F.col("around"), F.least(F.col("place"), F.lit(reach - 1)), slop)
+    hits = _found(postings.join(index, _same_term("term", "anchor") & found), F.col("place"), slop)
+    none = {"window": "array<string>", "start": "int", "length": "int"}
+    return hits.unionByName(
+        texts.select("doc_id", "digest", F.size("words").cast("bigint").alias("n_words"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     )
-    index = materialise(index.unionByName(every), "index")
-    postings = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("words")).select(
-        "doc_id", "digest", "words", F.posexplode(F.concat(F.array(mark), "words")).alias("place", "term")
-    )
-    at, length, words_ = F.col("place") - 1, F.size("window"), F.col("words")
-    begin = at - F.col("offset")
+
+
+def _stands(words_: Column, at: Column, slop: int | None) -> Column:
+    """Whether the window stands in ``words_`` with its rarest word at place ``at``, or near it."""
+    length = F.size("window")
     if slop is None:
         # Places outside the text give null or a shorter slice and so no match.
+        begin = at - F.col("offset")
         near = F.get(words_, at + F.col("step")) == F.col("second")
-        found = near & (begin >= 0) & (F.slice(words_, F.greatest(begin, F.lit(0)) + 1, length) == F.col("window"))
-    else:
-        begin, reach = at, length + slop
-        around = F.slice(words_, F.greatest(at - reach + 1, F.lit(0)) + 1, 2 * reach - 1)
-        found = F.exists(
-            F.sequence(F.lit(1), F.greatest(F.size(around) - reach + 1, F.lit(1))),
-            lambda i: F.size(F.array_except(F.col("window"), F.slice(around, i, reach))) == 0,
-        )
-    return postings.join(_small(index), _same_term("term", "anchor") & (F.col("window").isNull() | found)).select(
+        return near & (begin >= 0) & (F.slice(words_, F.greatest(begin, F.lit(0)) + 1, length) == F.col("window"))
+    reach, first = length + slop, F.greatest(at - length - slop + 1, F.lit(0))
+    around = F.slice(words_, first + 1, F.greatest(at + reach - first, F.lit(0)))
+    return F.exists(
+        F.sequence(F.lit(1), F.greatest(F.size(around) - reach + 1, F.lit(1))),
+        lambda i: F.size(F.array_except(F.col("window"), F.slice(around, i, reach))) == 0,
+    )
+
+
+def _found(joined: DataFrame, at: Column, slop: int | None) -> DataFrame:
+    begin = at if slop is not None else at - F.col("offset")
+    within = F.col("window").isNotNull()
+    return joined.select(
         "doc_id",
         "digest",
-        F.size("words").cast("bigint").alias("n_words"),
+        F.col("n_words").cast("bigint").alias("n_words"),
         "window",
-        F.when(F.col("window").isNotNull(), begin).alias("start"),
-        F.when(F.col("window").isNotNull(), length).alias("length"),
+        F.when(within, begin).alias("start"),
+        F.when(within, F.size("window")).alias("length"),
     )
 
 

@@ -114,8 +114,9 @@ def contaminated(docs, items, width=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_decontamination(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast"), [(1, 200_000), (2, 200_000), (2, -1)])
+def test_decontamination(spark, monkeypatch, seed, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     rng = random.Random(seed)
     pool = ["the", "of", "Alpha", "beta", "Çedilla", "delta9", "x", "y"]
     items = [(i, " ".join(rng.choices(pool, k=rng.choice([0, 1, 3, 12, 14])))) for i in range(12)] + [(3, "the of"), (50, None), (51, "...")]
@@ -138,7 +139,9 @@ def test_decontamination(spark, seed):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
-def test_proximity(spark):
+@pytest.mark.parametrize("broadcast", [200_000, -1])
+def test_proximity(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     docs = spark.createDataFrame([(1, "c b x a"), (2, "a x x x x b c"), (3, "a b")], "doc_id int, text string")
     windows = spark.createDataFrame([(["a", "b", "c"],)], "window array<string>")
     near = decontaminate.matches(docs, windows, slop=1).where("window is not null")
