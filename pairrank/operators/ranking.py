@@ -48,19 +48,18 @@ def rank_within(
 ) -> DataFrame:
     """Add ``rank`` (1..n by score descending, then ids) and running sums per group.
 
-    The usual plan is one exchange on ``by`` and one sort. A group too large for
-    one task is detected first, from a count that reads only the ``by`` columns
-    (``sizes`` may supply a cheaper source of the same rows; ``crowded`` says the
-    answer is already known); only such groups then take the split plan of
-    :func:`_rank_split`. Results are the same either way.
+    One lazy plan, built without starting a job. Groups above ``max_group_rows`` are
+    counted inside it, from the ``by`` columns alone (``sizes`` may supply a cheaper
+    source of the same rows), and ranked in several tasks by :func:`_rank_split`; all
+    others take one exchange on ``by`` and one sort. Where the count finds no such
+    group, adaptive execution drops the split branch before it runs. Ranks are the
+    same either way. ``crowded=False`` leaves the branch out for a caller that knows.
     """
     by, ids, running = list(by), list(ids), dict(running or {})
-    source = sizes if sizes is not None else df
-    if crowded is None:
-        crowded = has_crowded_group(source, by, max_group_rows)
-    if not crowded:
+    if crowded is False:
         return _rank_window(df, by, score, ids, running)
-    hot = _crowded_groups(source, by, max_group_rows)
+    # At most (all rows / max_group_rows) groups are that large, so the side is small at any scale.
+    hot = F.broadcast(_crowded_groups(sizes if sizes is not None else df, by, max_group_rows))
     cold = _join_on(df, hot, by, "left_anti")
     packed = _join_on(df, hot, by, "inner")
     return _rank_window(cold, by, score, ids, running).unionByName(
@@ -95,14 +94,16 @@ def _rank_split(df, by, score, ids, running, max_group_rows) -> DataFrame:
     its slice by binary search, slices are ranked independently, and the sizes of
     the slices before it are added. The split points decide only where the cuts
     fall, never the result, and are a pure function of the data, so a recomputed
-    task cuts in the same places.
+    task cuts in the same places. Rows never travel by the crowded key: group sizes
+    and split points are broadcast, and the exchange is by (group, slice). There are
+    at most some eight split points for every ``max_group_rows`` rows; equal ones count once.
     """
     key = _desc_key(score, ids)
     slices = F.ceil(F.col("group_rows") / F.lit(max_group_rows)) * 4
     stride = F.greatest(F.lit(1), (F.col("group_rows") / slices).cast("bigint"))
     chosen = df.where(F.pmod(F.xxhash64(*[F.col(c) for c in [*by, *ids, score]]), stride) == 0)
-    cuts = chosen.groupBy(*by).agg(F.array_sort(F.collect_list(key)).alias("cuts"))
-    placed = _join_on(df.drop("group_rows"), cuts, by, "left")
+    cuts = chosen.groupBy(*by).agg(F.array_sort(F.collect_set(key)).alias("cuts"))
+    placed = _join_on(df.drop("group_rows"), F.broadcast(cuts), by, "left")
     placed = placed.withColumn("slice", _slices_before(F.col("cuts"), key)).drop("cuts")
 
     totals = placed.groupBy(*by, "slice").agg(

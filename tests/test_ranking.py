@@ -82,7 +82,10 @@ def test_metrics_take_one_exchange(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(1000).select((F.col("id") % 5).alias("job_id"), F.col("id").alias("item"), F.rand(3).alias("score"), (F.col("id") % 4).cast("int").alias("grade")).write.parquet(path)
     df = spark.read.parquet(path)
-    plan = rk.posting_metrics(df, ["job_id"], "score", ["item"])._jdf.queryExecution().executedPlan().toString()
+    result = rk.posting_metrics(df, ["job_id"], "score", ["item"])
+    result.collect()
+    # What ran: the split branch is in the plan until the count has found no crowded group.
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1
 
 
@@ -117,3 +120,14 @@ def test_split_plan_orders_as_the_window(spark):
     whole = rank_within(df, ["job"], "score", ["id"]).select("id", "rank").orderBy("id").collect()
     split = rank_within(df, ["job"], "score", ["id"], max_group_rows=5).select("id", "rank").orderBy("id").collect()
     assert whole == split
+
+
+def test_ranking_is_lazy_and_drops_the_idle_branch(spark):
+    df = spark.range(3000).select(F.pmod("id", F.lit(7)).alias("job"), "id", (F.col("id") * 37 % 1009).cast("double").alias("score"))
+    spark.sparkContext.setJobGroup("lazy", "plan only")
+    ranked = rk.rank_within(df, ["job"], "score", ["id"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    ranked.collect()
+    final = ranked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Union" not in final and "BroadcastHashJoin" not in final and final.count("hashpartitioning(job") == 1
