@@ -58,30 +58,37 @@ def bullets_of(lines: Column) -> Column:
     return F.transform(marked, lambda line: strip(F.regexp_extract(line, BULLET, 1)))
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sections_of(lines: Column) -> Column:
-    """``array<struct<heading, lines>>`` in document order, opening block under "".
+    """``array<struct<heading, lines>>`` in the order first seen, opening block under "".
 
-    Each heading line is fenced with control characters and the joined text is
-    split at the fences, so the work stays inside the row and is linear in it.
+    A heading that comes again goes on with its section. Lines are found by their
+    places and taken as they stand, so no character of a text is altered.
     """
-    fence, close = "\u0001", "\u0002"
-    fenced = F.transform(
-        lines,
-        lambda line: F.when(is_heading(line), F.concat(F.lit(fence), line, F.lit(close))).otherwise(
-            F.translate(line, fence + close, "  ")
-        ),
-    )
-    blocks = F.split(F.array_join(fenced, "\n"), fence)
-    return F.transform(
-        blocks,
-        lambda block, i: F.struct(
-            F.when(i == 0, F.lit("")).otherwise(F.substring_index(block, close, 1)).alias("heading"),
-            F.filter(
-                F.split(F.when(i == 0, block).otherwise(F.substring_index(block, close, -1)), "\n"),
-                lambda line: line != "",
-            ).alias("lines"),
-        ),
-    )
+    # Places of the headings, after the opening block's; a section ends where the next begins.
+    headed = F.filter(F.transform(lines, lambda line, i: F.when(is_heading(line), i)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(-1)), headed)
+
+    def cut(starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda at, k: F.struct(
+                F.when(at < 0, F.lit("")).otherwise(F.get(lines, at)).alias("heading"),
+                F.slice(lines, at + 2, F.coalesce(F.get(starts, k + 1), F.size(lines)) - at - 1).alias("lines"),
+            ),
+        )
+
+    def merge(blocks: Column) -> Column:
+        headings = F.array_distinct(blocks["heading"])
+        joined = lambda h: F.flatten(F.filter(blocks, lambda b: b["heading"] == h)["lines"])
+        merged = F.transform(headings, lambda h: F.struct(h.alias("heading"), joined(h).alias("lines")))
+        return F.when(F.size(headings) == F.size(blocks), blocks).otherwise(merged)
+
+    return F.when(lines.isNotNull(), _bind(_bind(starts, cut), merge))
 
 
 def _phrase_pairs(vocabulary: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:

@@ -70,10 +70,13 @@ def site_fragments(lines: Column) -> Column:
 
 
 def parse_profiles(docs: DataFrame, item: str, text: str = "text", vocabulary: Vocabulary | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Profile of each document. Persist or write the result: pairs reuse it."""
+    """Profile of each document. Persist or write the result: pairs reuse it.
+
+    A null text is an empty one: nothing stated, empty arrays and the warnings that say so.
+    """
     v = vocabulary or Vocabulary()
     staged = (
-        docs.select(item, *keep, tx.strip(F.col(text)).alias("text"))
+        docs.select(item, *keep, tx.strip(F.coalesce(F.col(text), F.lit(""))).alias("text"))
         .withColumn("lines", tx.lines_of(F.col("text")))
         .withColumn("sections", tx.sections_of(F.col("lines")))
         .withColumn("spans", tx.entity_spans(F.col("text"), v.certifications))

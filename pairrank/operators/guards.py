@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,16 +63,26 @@ def blocked_columns(names: DataFrame, column: str = "name") -> DataFrame:
 
 
 def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
-    """Every field name of a schema, nested structs included."""
+    """Every field name of a schema, whatever arrays, maps and structs it is nested in."""
     paths: list[str] = []
     for field in schema.fields:
         paths.append(prefix + field.name)
-        inner = field.dataType.elementType if isinstance(field.dataType, T.ArrayType) else field.dataType
-        if isinstance(inner, T.StructType):
+        for inner in _structs(field.dataType):
             paths += field_paths(inner, f"{prefix}{field.name}.")
     return paths
 
 
+def _structs(kind: T.DataType) -> list[T.StructType]:
+    """The nearest structs inside a type."""
+    if isinstance(kind, T.StructType):
+        return [kind]
+    if isinstance(kind, T.ArrayType):
+        return _structs(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _structs(kind.keyType) + _structs(kind.valueType)
+    return []
+
+
 def assert_clean(source: DataFrame | Sequence[str]) -> None:
     """Raise naming every protected field. Looks at names only, never at data."""
     names = field_paths(source.schema) if isinstance(source, DataFrame) else list(source)
@@ -137,34 +148,56 @@ def batch_constraints(rows: DataFrame, by: str, item: str, limit: int = 500) ->
     )
 
 
-def _is_sensitive(name: str, sensitive: Sequence[str]) -> bool:
-    return name.lower() in sensitive
+def redact(df: DataFrame, sensitive: Sequence[str] = SENSITIVE_KEYS) -> DataFrame:
+    """Replace sensitive values at any depth of structs, arrays and maps; names match in any case.
 
+    A sensitive field becomes the text ``[redacted]``. So does the value of a sensitive
+    map key where the map holds text; in a map of another type it becomes null.
+    """
+    names = frozenset(name.lower() for name in sensitive)
+    return df.select(*[_field(F.col(f"`{f.name}`"), f, names).alias(f.name) for f in df.schema.fields])
 
-def redact(df: DataFrame, sensitive: Sequence[str] = SENSITIVE_KEYS) -> DataFrame:
-    """Replace sensitive values at any depth of structs and arrays of structs."""
-    return df.select(*[_redacted(F.col(f.name), f, sensitive).alias(f.name) for f in df.schema.fields])
+
+def _field(value: Column, field: T.StructField, names: frozenset[str]) -> Column:
+    return F.lit(REDACTED) if field.name.lower() in names else _redacted(value, field.dataType, names)
 
 
-def _redacted(value: Column, field: T.StructField, sensitive: Sequence[str]) -> Column:
-    if _is_sensitive(field.name, sensitive):
-        return F.lit(REDACTED)
-    if isinstance(field.dataType, T.StructType):
-        return _redacted_struct(value, field.dataType, sensitive)
-    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
-        return F.transform(value, lambda item: _redacted_struct(item, field.dataType.elementType, sensitive))
+def _redacted(value: Column, kind: T.DataType, names: frozenset[str]) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_field(value.getField(f.name), f, names).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.AtomicType):
+        return F.transform(value, lambda item: _redacted(item, kind.elementType, names))
+    if isinstance(kind, T.MapType):
+        masked = F.lit(REDACTED) if isinstance(kind.valueType, T.StringType) else F.lit(None)
+        hit = lambda key: F.lower(key.cast("string")).isin(*sorted(names))
+        return F.transform_values(value, lambda k, v: F.when(hit(k), masked).otherwise(_redacted(v, kind.valueType, names)))
     return value
 
 
-def _redacted_struct(value: Column, schema: T.StructType, sensitive: Sequence[str]) -> Column:
-    rebuilt = F.struct(*[_redacted(value[f.name], f, sensitive).alias(f.name) for f in schema.fields])
-    return F.when(value.isNotNull(), rebuilt)
+def redact_json(json: Column, sensitive: Sequence[str] = SENSITIVE_KEYS) -> Column:
+    """The same for JSON kept as text, at any depth of objects and lists; other values stay as they are.
 
+    Text that is not JSON comes out null, so nothing unread is let through. The depth of a
+    row's JSON is unknown to a plan, hence a small walk over Arrow batches.
+    """
+    names, mask = frozenset(name.lower() for name in sensitive), REDACTED
 
-def redact_json(json: Column, sensitive: Sequence[str]) -> Column:
-    """The same for a flat JSON object kept as text."""
-    entries = F.from_json(json, "map<string,string>")
-    masked = F.transform_values(
-        entries, lambda k, v: F.when(F.lower(k).isin(*[s.lower() for s in sensitive]), F.lit(REDACTED)).otherwise(v)
-    )
-    return F.to_json(masked)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import json as codec
+
+        def walk(value):
+            if isinstance(value, dict):
+                return {k: mask if k.strip().lower() in names else walk(v) for k, v in value.items()}
+            return [walk(v) for v in value] if isinstance(value, list) else value
+
+        def clean(text):
+            try:
+                return codec.dumps(walk(codec.loads(text)), ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+            except (ValueError, RecursionError):
+                return None
+
+        for batch in batches:
+            yield pa.array([None if t is None else clean(t) for t in batch.to_pylist()], pa.string())
+
+    return run(json)

@@ -292,6 +292,21 @@ def redact_nested(spark, sf_dir):
     )
 
 
+@query(
+    "redact_json",
+    """SELECT conv_id, turn, '{"message":{"role":"' || role || '","body":{"Text":"[redacted]","n":' || CAST(length(text) AS BIGINT)
+      || '}},"contacts":[[{"EMAIL":"[redacted]","at":1,"share":0.5}]]}' AS body FROM conversations""",
+)
+def redact_json(spark, sf_dir):
+    """JSON text with objects and lists nested three levels deep; numbers stay numbers."""
+    turns = table(spark, sf_dir, "conversations")
+    body = F.to_json(F.struct(
+        F.struct("role", F.struct(F.col("text").alias("Text"), F.length("text").cast("bigint").alias("n")).alias("body")).alias("message"),
+        F.array(F.array(F.struct(F.col("text").alias("EMAIL"), F.lit(1).alias("at"), F.lit(0.5).alias("share")))).alias("contacts"),
+    ))
+    return turns.select("conv_id", "turn", gd.redact_json(body).alias("body"))
+
+
 @query("event_counters", "SELECT event_type, CAST(floor(user_id / 50) AS BIGINT) AS tier, count(*) AS n FROM events GROUP BY 1, 2")
 def event_counters(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("tier", F.floor(F.col("user_id") / 50))

@@ -51,6 +51,35 @@ def test_redaction_is_recursive_and_case_blind(spark):
     assert got == {"EMAIL": gd.REDACTED, "body": {"Name": gd.REDACTED, "rank": 3, "docs": [{"cv_text": gd.REDACTED, "n": 1}]}, "tags": ["plain"]}
 
 
+def test_redaction_in_maps_and_nested_lists(spark):
+    row = spark.range(1).select(
+        F.create_map(F.lit("Email"), F.lit("a@b.c"), F.lit("team"), F.lit("t")).alias("contact"),
+        F.create_map(F.lit("age"), F.lit(41), F.lit("n"), F.lit(2)).alias("numbers"),
+        F.array(F.array(F.struct(F.lit("x").alias("DOB"), F.lit(1).alias("n")))).alias("grid"),
+        F.create_map(F.lit("k"), F.array(F.struct(F.lit("x").alias("phone")))).alias("deep"),
+        F.lit(None).cast("map<string,struct<name:string>>").alias("nothing"),
+    )
+    got = gd.redact(row, [*gd.SENSITIVE_KEYS, "K2"]).first().asDict(recursive=True)
+    assert got == {
+        "contact": {"Email": gd.REDACTED, "team": "t"}, "numbers": {"age": None, "n": 2}, "grid": [[{"DOB": gd.REDACTED, "n": 1}]],
+        "deep": {"k": [{"phone": gd.REDACTED}]}, "nothing": None,
+    }
+    assert "grid.DOB" in gd.field_paths(row.schema) and "deep.phone" in gd.field_paths(row.schema)
+    with pytest.raises(ValueError, match="deep.phone"):
+        gd.assert_clean(row.select("deep"))
+
+
+def test_redaction_of_json_text(spark):
+    cases = {
+        '{"k":1,"n":2,"person":{"email":"a@b.c"}}': '{"k":1,"n":2,"person":{"email":"[redacted]"}}',
+        '[{"NAME": {"first": "x"}}, [{"age": 3}], 1.5, "é"]': '[{"NAME":"[redacted]"},[{"age":"[redacted]"}],1.5,"é"]',
+        '{"name": "x"': None, "": None, "{}": "{}", '{"n": NaN, "name": "x"}': None,
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "j string")
+    got = df.select("j", gd.redact_json(F.col("j")).alias("clean")).collect()
+    assert {r["j"]: r["clean"] for r in got} == {**cases, None: None}
+
+
 def test_draft_issues_in_order(spark):
     rows = [(0, " a ", "x"), (1, "a", " "), (2, "", "x" * 20001), (3, "  ", "y"), (4, "b", "z"), (5, "a", "z")]
     df = spark.createDataFrame(rows, "i INT, ref STRING, text STRING")

@@ -182,3 +182,17 @@ def test_preview(spark):
 def test_friendly_warning_falls_back_to_the_raw_text(spark):
     got = apply(spark, ["years_experience: not stated", "certification: unrecognised entry 'x'", "other: y"], xt.friendly_warning)
     assert got == ["Did not state years of experience", "An entry in the certifications list was not recognised", "other: y"]
+
+
+def test_repeated_headings_are_one_section(spark):
+    text = "intro\nPROFILE\na\u0001b\u0002c\nWORK HISTORY\nx\ny\nPROFILE\nd"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    rows = df.select("id", tx.sections_of(tx.lines_of(F.col("text"))).alias("s")).collect()
+    got = {r["id"]: r["s"] and [(s["heading"], s["lines"]) for s in r["s"]] for r in rows}
+    assert got == {1: [("", ["intro"]), ("PROFILE", ["a\u0001b\u0002c", "d"]), ("WORK HISTORY", ["x", "y"])], 2: None, 3: [("", [])]}
+
+
+def test_profile_of_a_null_text(spark):
+    row = xt.parse_profiles(spark.createDataFrame([(1, None)], "id int, text string"), "id").first()
+    assert row["certifications"] == row["shift_availability"] == row["site_experience"] == []
+    assert "employment: no employment section found" in row["parse_warnings"]
