@@ -22,10 +22,11 @@ NAMES = ft.FEATURE_NAMES
 
 # Terms that can differ from zero, by feature; all others contribute exactly nothing.
 ACTIVE = {"exp_gap": "t_gap", "cert_overlap_ratio": "t_cert", "missing_critical_cert": "t_critical", "shift_match": "t_shift"}
-MEANS_SQL = "means AS (SELECT avg(t_cert) AS m_cert, avg(t_gap) AS m_gap, avg(t_shift) AS m_shift, avg(t_critical) AS m_critical FROM scored)"
+MEANS_SQL = "means AS MATERIALIZED (SELECT avg(t_cert) AS m_cert, avg(t_gap) AS m_gap, avg(t_shift) AS m_shift, avg(t_critical) AS m_critical FROM scored)"
 CONTRIBUTION_SQL = f"""{FEATURES_SQL}, {MEANS_SQL},
-explained AS (SELECT s.*, t_gap - m_gap AS c_exp_gap, t_cert - m_cert AS c_cert_overlap_ratio, t_shift - m_shift AS c_shift_match,
-  t_critical - m_critical AS c_missing_critical_cert, m_cert + m_gap + m_shift + m_critical AS base_value FROM scored s, means)"""
+explained AS (SELECT s.*, t_gap - (SELECT m_gap FROM means) AS c_exp_gap, t_cert - (SELECT m_cert FROM means) AS c_cert_overlap_ratio,
+  t_shift - (SELECT m_shift FROM means) AS c_shift_match, t_critical - (SELECT m_critical FROM means) AS c_missing_critical_cert,
+  (SELECT m_cert + m_gap + m_shift + m_critical FROM means) AS base_value FROM scored s)"""
 LONG_SQL = CONTRIBUTION_SQL + ",\nlong AS (" + " UNION ALL ".join(
     f"SELECT job_id, candidate_id, score, '{n}' AS feature, {i} AS position, {n} AS value, "
     + (f"c_{n}" if n in ACTIVE else "CAST(0.0 AS DOUBLE)") + " AS contribution FROM explained"
