@@ -34,7 +34,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
+    """The document with the smallest id of every group of near-duplicates.
+
+    Groups are those of ``op10_simhash``: 3-word fingerprints within three bits. Near copies
+    further apart stay; the README gives the recall.
+    """
     prepare(spark)
     return simhash.keep_one(docs, "doc_id", "text")
 
