@@ -310,22 +310,22 @@ def _sides(spark, sf_dir):
 
 @query("rank_boost_fit")
 def rank_boost_fit(spark, sf_dir):
-    """A short fit on the pair features; its validation quality per round."""
+    """A fit on the pair features with the default rounds and early stopping; its validation quality per round."""
     train, valid = _sides(spark, sf_dir)
-    return tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"], tr.BoostSettings(max_rounds=3, patience=3)).history
+    return tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"]).history
 
 
 @query("grid_select")
 def grid_select(spark, sf_dir):
+    """Every setting of the default grid, each fitted with the default rounds and early stopping."""
     train, valid = _sides(spark, sf_dir)
-    grid = {"max_leaves": (7, 15), "learning_rate": (0.1,), "min_rows_in_leaf": (20,)}
-    return tr.grid_select(train, valid, "job_id", ["candidate_id"], grid, max_rounds=1).trials
+    return tr.grid_select(train, valid, "job_id", ["candidate_id"]).trials
 
 
 @query("predict_scores")
 def predict_scores(spark, sf_dir):
     train, valid = _sides(spark, sf_dir)
-    model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"], tr.BoostSettings(max_rounds=2, patience=2)).model
+    model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"]).model
     return tr.predict_scores(model, valid).select(*KEYS, round6("score").alias("score"))
 
 
@@ -333,7 +333,7 @@ def predict_scores(spark, sf_dir):
 def attribute_trees(spark, sf_dir):
     """Shapley contributions of a fitted ensemble for every held-out pair, with the additivity gap."""
     train, valid = _sides(spark, sf_dir)
-    model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"], tr.BoostSettings(max_rounds=2, patience=2)).model
+    model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"]).model
     explained = tr.attribute_trees(model, tr.predict_scores(model, valid))
     total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
     return explained.select(

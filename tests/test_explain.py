@@ -189,3 +189,49 @@ def test_boosting_learns_and_explains(spark):
     gap = F.abs(F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c) - F.col("score"))
     assert told.agg(F.max(gap)).first()[0] < 1e-9
     assert told.agg(F.min(F.size("contributions"))).first()[0] == 12
+
+
+@pytest.mark.parametrize("name", ["rank_boost_fit", "grid_select", "predict_scores", "attribute_trees"])
+def test_fits_are_registered_with_the_defaults(spark, monkeypatch, name):
+    from pairrank.plans import q_pairs
+    from pairrank.plans.registry import QUERIES
+
+    fitted = []
+
+    def fit(train, valid, by, ids, settings=tr.BoostSettings()):
+        fitted.append(settings)
+        return tr.FitResult(tr.Ensemble(tuple(ft.ml_columns()), ()), spark.range(1), 1, 0.5, settings)
+
+    pairs = frame(spark, n_jobs=2)
+    monkeypatch.setattr(q_pairs, "_sides", lambda spark, sf_dir: (pairs, pairs))
+    monkeypatch.setattr(tr, "rank_boost_fit", fit)
+    QUERIES[name](spark, "")
+    grid = itertools.product(*tr.GRID.values()) if name == "grid_select" else [(15, 0.05, 50)]
+    assert [(s.max_leaves, s.learning_rate, s.min_rows_in_leaf) for s in fitted] == list(grid)
+    assert {(s.max_rounds, s.patience) for s in fitted} == {(500, 50)}
+
+
+def test_an_ensemble_of_all_rounds_scores_and_explains(spark):
+    """As many trees as a fit with the default rounds may return."""
+    rng = np.random.default_rng(7)
+    names = tuple(ft.ml_columns())
+
+    def tree(depth, cover):
+        if depth == 0:
+            return tr.Node(cover, float(rng.normal()) / 100)
+        at = int(rng.integers(0, len(names)))
+        return tr.Node(cover, 0.0, at, float(rng.random()), tree(depth - 1, cover / 2), tree(depth - 1, cover / 2))
+
+    model = tr.Ensemble(names, tuple(tree(3, 64.0) for _ in range(tr.MAX_ROUNDS)))
+    rows = frame(spark, n_jobs=1)
+    encoded = np.array([list(r) for r in rows.select(*[c.alias(n) for n, c in ft.ml_columns().items()]).collect()], dtype=float)
+
+    def value(node, row):
+        while node.feature >= 0:
+            node = node.left if row[node.feature] <= node.threshold else node.right
+        return node.value
+
+    told = tr.attribute_trees(model, tr.predict_scores(model, rows)).collect()
+    want = sorted(sum(value(t, r) for t in model.trees) for r in encoded)
+    assert sorted(r["score"] for r in told) == pytest.approx(want)
+    assert all(r["base_value"] + sum(r["contributions"]) == pytest.approx(r["score"]) for r in told)
