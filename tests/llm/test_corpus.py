@@ -256,6 +256,45 @@ def test_pages_by_template(spark):
     assert {r["page_id"]: r["text"] for r in webpages.extract(df, "page_id", "url", "html").collect()} == want
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://host/{i}", html) for i, html in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in webpages.extract(df, "page_id", "url", "html").collect()}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = '<body><div class="t1">%s</div><div class="x9"><p>%s</p></div></body>'
+    assert set(extracted(spark, [page % ("Site", "the whole story")] * 4).values()) == {"Site\nthe whole story"}
+    told = extracted(spark, [page % ("Site", t) for t in ["one text"] * 5 + ["another text"]])
+    assert told == {i: "Site\none text" for i in range(5)} | {5: "Site\nanother text"}
+    told = extracted(spark, [page % ("Site", t) for t in ["one text"] * 5 + ["another text", "a third"]])
+    assert told == {i: "one text" for i in range(5)} | {5: "another text", 6: "a third"}
+
+
+def test_two_texts_of_a_place_are_not_one(spark):
+    """Every pair of texts in one place of three pages and more; estimates of the distinct count may take two for one."""
+    hosts = 400
+    rows = [(3 * h + i, f"http://h{h}/{i}", f'<div class="a">{h} {min(i, 1)}</div><div class="b">{h} {i}</div>') for h in range(hosts) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in webpages.extract(df, "page_id", "url", "html").collect()}
+    assert got == {3 * h + i: f"{h} {min(i, 1)}\n{h} {i}" for h in range(hosts) for i in range(3)}
+
+
+def test_short_slots_stay(spark):
+    page = '<body><div class="lead">lead %d</div><div class="long">%s</div><div class="menu9"><a href="/">all links %d</a></div></body>'
+    told = extracted(spark, [page % (i, f"long text {i} " * 50, i) for i in range(4)])
+    assert told == {i: f"lead {i}\n" + (f"long text {i} " * 50).strip() for i in range(4)}
+
+
+@pytest.mark.parametrize(
+    ("name", "text"),
+    [("has-sidebar", "before\nstory\nafter"), ("sidebar-wrap", "story"), ("content-sidebar", "story"), ("sidebar", ""), ("sidebar widget", "")],
+)
+def test_names_that_mention_a_sidebar(spark, name, text):
+    inner = "before<article>story</article>after" if name != "has-sidebar" else "before<div>story</div>after"
+    assert extracted(spark, [f'<body><div class="{name}">{inner}</div></body>']) == {0: text}
+
+
 def test_whole_tables(spark):
     for name, table in (("op1_html", "pages"), ("op4_warc", "pages"), ("op5_licences", "documents"), ("op9_sharding", "documents"), ("op10_simhash", "documents"), ("op8_decontamination", "documents")):
         assert queries.QUERIES[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
