@@ -23,7 +23,8 @@ def shard(docs: DataFrame, doc_id: str, text: str, shards: int = 8, seed: int =
     slot g div shards of shard g mod shards, so that row counts are at most one apart
     (law ``rows``) and slots have no gaps. ``grown_shard`` belongs to another law: null.
 
-    Null texts have size 1 and crc32 0. Rows that repeat id and text share a bucket.
+    Null texts have size 1 and crc32 0. Rows that repeat id and text share a bucket; if they
+    exceed it, they are dealt in turn to as many buckets as they fill.
     An empty table gives an empty one. The written buckets fix the order: what is read
     after an executor is lost is the same.
     """
@@ -34,8 +35,23 @@ def shard(docs: DataFrame, doc_id: str, text: str, shards: int = 8, seed: int =
     totals = docs.agg(F.sum(size).alias("bytes")).first()
     buckets = max(1, math.ceil((totals["bytes"] or 0) / bucket_bytes))
     key = [F.col(f"`{doc_id}`"), crc, size]
+    home = lambda *of: F.xxhash64(F.lit(seed), *of)
+    # Keys whose rows exceed a bucket: one at most for every bucket_bytes of text.
+    crowded = docs.groupBy(key[0].alias("id"), crc.alias("crc"), size.alias("size")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+    crowded = materialise(
+        crowded.where((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select(
+            home("id", "crc", "size").alias("__home"), F.ceil(F.col("bytes") / bucket_bytes).alias("__spread")
+        ).groupBy("__home").agg(F.max("__spread").alias("__spread")), "crowded-keys",
+    )
+    turn = F.lit(0)
+    if not crowded.isEmpty():
+        # Written before the exchange: the running number of a row depends on where it is read.
+        numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), home(*key).alias("__home"), F.monotonically_increasing_id().alias("__at"))
+        numbered = numbered.join(F.broadcast(crowded) if buckets <= BROADCAST_ROWS else crowded, "__home", "left")
+        docs = materialise(numbered.select("__row.*", F.coalesce(F.pmod("__at", "__spread"), F.lit(0)).alias("__turn")), "numbered")
+        turn = F.col("__turn")
     scattered = docs.select(
-        F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.pmod(home(*key), F.lit(buckets)) + turn, F.lit(buckets)).cast("int").alias("bucket"),
         F.struct(
             F.xxhash64(F.lit(seed + 1), *key).alias("order"), size.alias("size"), crc.alias("text_crc32"),
             F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),

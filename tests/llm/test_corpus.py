@@ -173,6 +173,24 @@ def test_shards(spark, capsys):
     assert shards.shard(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_rows_of_one_key_fill_many_buckets(spark, monkeypatch):
+    written = {}
+
+    def keep(df, label, write=shards.materialise):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(shards, "materialise", keep)
+    rows = [(1, "the same text " * 20)] * 2000 + [(None, "and without id " * 10)] * 1000 + [(i, f"text {i} " * 20) for i in range(2, 3000)]
+    out = shards.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", bucket_bytes=50_000)
+    got = out.collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, rows))
+    assert len({(r["shard"], r["slot"]) for r in got}) == len(rows) and max(r["slot"] for r in got) == (len(rows) - 1) // 8
+    sizes = written["buckets"].groupBy("bucket").agg(F.sum("record.size")).collect()
+    assert max(r[1] for r in sizes) < 4 * 50_000
+    assert out.columns == ["doc_id", "text", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1.0]) for _ in range(rng.choice([3, 4]))]) for i in range(160)]
