@@ -75,7 +75,8 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, k:
     Candidates and queries are dealt into blocks of bounded size; each block of candidates
     meets each block of queries, and at most k rows per query leave a pair of blocks. Ties
     go to the smaller id. Rows that share the query's id are not its candidates; other
-    repeated rows count each. Rows without id, and vectors that are not ``usable``, take no
+    repeated rows count each. Equal query rows ask once; query rows of one id with different
+    vectors are ranked each for itself under that id. Rows without id, and vectors that are not ``usable``, take no
     part. Scores are exact while they fit 64 bits. No queries, or no candidates: no rows.
     """
     whole = vectors.select(F.col(f"`{vec_id}`").alias("id"), F.col(f"`{embedding}`").alias("e"), is_query.alias("asks"))
@@ -85,12 +86,14 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, k:
     spot = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select("id", "v", spot(1, blocks).alias("block")).select("id", "v", "block", every(asks).alias("part"))
-    queries = rows.where("asks").select("id", "v", spot(2, asks).alias("part")).select("id", "v", "part", every(blocks).alias("block"))
+    asking = rows.where("asks").select("id", "v").distinct()
+    queries = asking.select("id", "v", F.xxhash64("id", "v").alias("query"), spot(2, asks).alias("part")).select("id", "v", "query", "part", every(blocks).alias("block"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = list(best_of_block(left, right, k)) if left.num_rows and right.num_rows else []
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         return pa.table({
+            "query": pa.array(np.repeat(right["query"].to_numpy()[: len(out)], [len(i) for _, i, _ in out]), pa.int64()),
             "query_id": pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]).astype(np.int64), pa.int64()),
             "vec_id": pa.array(cat([i for _, i, _ in out]), pa.int64()),
             "score": pa.array(cat([s for _, _, s in out]), pa.int64()),
@@ -99,7 +102,7 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, k:
     found = (
         candidates.groupBy("block", "part")
         .cogroup(queries.groupBy("block", "part"))
-        .applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
+        .applyInArrow(meet, "query bigint, query_id bigint, vec_id bigint, score bigint")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

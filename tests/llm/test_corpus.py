@@ -191,6 +191,19 @@ def test_rows_of_one_key_fill_many_buckets(spark, monkeypatch):
     assert out.columns == ["doc_id", "text", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
+def test_top_k_of_repeated_queries(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1.0]) for _ in range(4)]) for i in range(1, 60)]
+    first, second = [1.0, 0.25, 0.5, -0.5], [-1.0, 0.5, 0.25, 0.25]
+    df = spark.createDataFrame(rows + [(0, first)] * 3 + [(0, second)], "vec_id bigint, embedding array<float>")
+    want = []
+    for v in (first, second):
+        scores = sorted((-sum(int(256 * a // 1) * int(256 * b // 1) for a, b in zip(v, w)), i) for i, w in rows)
+        want += [(0, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") == 0, block_rows=20, query_rows=2)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1.0]) for _ in range(rng.choice([3, 4]))]) for i in range(160)]
