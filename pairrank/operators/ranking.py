@@ -155,6 +155,17 @@ def _dcg(rank: Column, grade: Column, k: int) -> Column:
     return F.sum(F.when(rank <= k, gain(grade) * position_exposure(rank)))
 
 
+def unknown_grades(grade: str, max_grade: int) -> Column:
+    """How many rows have a grade that is no whole number from 0 to ``max_grade``."""
+    return F.count_if(~F.col(grade).isin(*range(max_grade + 1)))
+
+
+def known(ideal: Column, max_grade: int) -> Column:
+    """``ideal``, or an error where ``n_unknown`` grades are missing from it."""
+    error = F.raise_error(F.lit(f"grades must be whole numbers from 0 to {max_grade}"))
+    return F.when(F.col("n_unknown") > 0, error.cast("double")).otherwise(ideal)
+
+
 def posting_metrics(
     df: DataFrame,
     by: Sequence[str],
@@ -169,13 +180,15 @@ def posting_metrics(
 
     One exchange: the rank window, the running hit count and the final
     aggregation all share the partitioning on ``by``; the ideal order comes from
-    grade counts, so it needs no second sort.
+    grade counts, so it needs no second sort. A grade that is no whole number from 0 to
+    ``max_grade`` is an error where an NDCG is asked for.
     """
     relevant = F.when(F.col(grade) >= RELEVANT_GRADE, 1).otherwise(0)
     spine = df.select(*by, *[i for i in ids if i not in by], score, grade)
     ranked = rank_within(spine, by, score, ids, {"hits": relevant}, **rank_options)
     rank, is_hit = F.col("rank"), F.col(grade) >= RELEVANT_GRADE
     counts = [F.count_if(F.col(grade) == g).alias(f"n_{g}") for g in range(1, max_grade + 1)]
+    counts.append(unknown_grades(grade, max_grade).alias("n_unknown"))
     per_group = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *counts,
@@ -185,7 +198,7 @@ def posting_metrics(
         F.min(F.when(is_hit, rank)).alias("first_hit"),
     )
     grade_counts = {g: F.col(f"n_{g}") for g in range(1, max_grade + 1)}
-    ideals = {k: ideal_dcg(grade_counts, k) for k in cutoffs}
+    ideals = {k: known(ideal_dcg(grade_counts, k), max_grade) for k in cutoffs}
     return per_group.select(
         *by,
         "n_rows",

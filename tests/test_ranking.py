@@ -131,3 +131,17 @@ def test_ranking_is_lazy_and_drops_the_idle_branch(spark):
     ranked.collect()
     final = ranked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "Union" not in final and "BroadcastHashJoin" not in final and final.count("hashpartitioning(job") == 1
+
+
+def test_a_grade_beyond_the_scale_is_an_error_or_counts(spark):
+    from pairrank.operators import training as tr
+
+    df = graded(spark, [0, 4, 2])
+    with pytest.raises(Exception, match="whole numbers from 0 to 3"):
+        rk.posting_metrics(df, ["job_id"], "score", ["item"]).collect()
+    with pytest.raises(Exception, match="whole numbers from 0 to 3"):
+        tr.lambda_gradients(df, "job_id", "score", ["item"]).collect()
+    row = rk.posting_metrics(df, ["job_id"], "score", ["item"], max_grade=4).first()
+    assert row["ndcg_at_10"] == pytest.approx((15 / math.log2(3) + 3 / 2) / (15 + 3 / math.log2(3)))
+    got = {r["item"]: r["gradient"] for r in tr.lambda_gradients(df, "job_id", "score", ["item"], max_grade=4).collect()}
+    assert sum(got.values()) == pytest.approx(0) and got[1] > 0 > got[0]
