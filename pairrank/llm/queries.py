@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import bpe, decontaminate, licences, quality, shards, simhash, topk, toxicity, warc, webpages
+from pairrank.llm import (
+    bpe, collocations, conversations, decontaminate, langid, licences, quality, shards, simhash, topk, toxicity, warc, webpages,
+)
 from pairrank.llm.common import held_out, load, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +159,122 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html")
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webpages.extract(load(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), t AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda s: array_to_string(list_slice(w, s, s + k - 1), ' '))) AS phrase
+        FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+  GROUP BY lang, k, phrase HAVING count(*) >= 30
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS x, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), s AS (
+  SELECT c.lang, c.k, c.phrase, a, cut, l.f AS l, r.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.k = cut AND l.phrase = array_to_string(list_slice(x, 1, cut), ' ')
+         JOIN f r ON r.lang = c.lang AND r.k = c.k - cut AND r.phrase = array_to_string(list_slice(x, cut + 1, c.k), ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), i AS (
+  SELECT lang, phrase, max(f) AS around
+  FROM (SELECT lang, f, unnest(list_transform(range(1, k - z + 2), lambda s: array_to_string(list_slice(string_split(phrase, ' '), s, s + z - 1), ' '))) AS phrase
+        FROM f, (SELECT unnest([2, 3]) AS z) WHERE k > z)
+  GROUP BY lang, phrase
+), o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS place
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE around IS NULL OR 100 * CAST(around AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT o.lang, CAST(place AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, t.n, score
+FROM o JOIN t ON t.lang = o.lang WHERE place <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query("op13_langid")
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = langid.fit(docs, "text", "lang", ~held)
+    return langid.classify(docs.select("doc_id", "text", held.alias("held_out")), "text", model).drop("text")
+
+
+OP11_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS tab
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+), src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'),
+               lambda h: CAST('0x' || h AS BIGINT)),
+             lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 20 AS fate
+  FROM conversations, crc
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM src, (SELECT unnest([1, 2]) AS copy) WHERE fate <> 0 AND (copy = 1 OR fate = 3)
+), tidy AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+  FROM hurt
+), rows AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN right(body, 1) IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault
+  FROM tidy
+), total AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate,
+         count_if(fault = 't') AS truncated, count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS size
+  FROM rows GROUP BY conv_id
+), step AS (
+  SELECT * FROM (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')) v(q, initial, z)
+), pad AS (
+  SELECT * FROM (VALUES ('0', '0', '', 0, []), ('0', 'u', 'I', 5, ['user:']), ('0', 'a', 'II', 10, ['user:', 'assistant:']),
+    ('s', 's', '', 0, []), ('s', 'u', 'I', 5, ['user:']), ('s', 'a', 'II', 10, ['user:', 'assistant:']),
+    ('u', 'u', '', 0, []), ('u', 'a', 'I', 5, ['assistant:']), ('u', 'u', 'II', 10, ['assistant:', 'user:']),
+    ('a', 'a', '', 0, []), ('a', 'u', 'I', 5, ['user:']), ('a', 'a', 'II', 10, ['user:', 'assistant:'])) v(q, z, edits, cost, lines)
+), way AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '0' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM total
+  UNION ALL
+  SELECT conv_id, i, z, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, z ORDER BY cost, audit) AS best FROM (
+      SELECT w.conv_id, r.i, e.z, CAST(w.cost + p.cost + e.cost AS BIGINT) AS cost, w.audit || p.edits || e.edit AS audit,
+             list_concat(list_concat(w.lines, CAST(p.lines AS VARCHAR[])), e.line) AS lines
+      FROM way w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN pad p ON p.q = w.state,
+      LATERAL (
+        SELECT p.z AS z, 2 AS cost, 'D' AS edit, CAST([] AS VARCHAR[]) AS line
+        UNION ALL SELECT step.z, CASE WHEN r.fault = 't' THEN 5 ELSE 0 END, 'K', [r.role || ':' || r.text]
+          FROM step WHERE step.q = p.z AND step.initial = r.initial AND r.fault IN ('-', 't')
+        UNION ALL SELECT step.z, CASE WHEN r.fault = 't' THEN 6 ELSE 1 END, 'R', [CASE step.z WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text]
+          FROM step WHERE step.q = p.z AND step.initial <> 's' AND r.fault IN ('-', 't')
+      ) e
+    )
+  ) WHERE best = 1
+), ended AS (
+  SELECT w.conv_id, w.cost + p.cost AS cost, w.audit || p.edits AS audit, list_concat(w.lines, CAST(p.lines AS VARCHAR[])) AS lines,
+         row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + p.cost, w.audit || p.edits) AS best
+  FROM way w JOIN total t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = t.size JOIN pad p ON p.q = w.state AND p.z IN ('0', 'a')
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN total t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.best = 1
+"""
+
+
+@query("op11_conversations", OP11_SQL)
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
