@@ -9,10 +9,10 @@ once, with the number of times it occurs in the parse (Boucher et al., prefix-fr
 
 **Counts.** All counting is done inside the distinct chunks, weighted by their frequency. A chunk counts
 the phrases that start in its own ``core`` words, so what lies in an overlap is counted once.
-Phrases grow as in frequent item sets: one can be frequent only if its parts are. Each level is counted by
-64-bit hash; the hashes with enough occurrences set bits of a bitmap of fixed size (``BITS``), which is
-broadcast to the next level. Hash counts and bits can only be too large, so no phrase is lost; at the end
-the phrases that are left are counted by their text, exactly.
+Phrases grow as in frequent item sets: one can be frequent only if its parts are. Words are counted by their
+text, longer phrases first by 64-bit hash; the hashes with enough occurrences set bits of a bitmap of fixed size
+(``BITS``), which is broadcast to the next level. Hash counts and bits can only be too large, so no phrase is
+lost; at the end the phrases that are left are counted by their text, exactly.
 
 Rows repeat freely, null and empty texts have no words, a null language is ``und``. Only the two named
 columns are read, so names of others can't clash. An empty table has no phrase.
@@ -20,7 +20,7 @@ columns are read, so names of others can't clash. An empty table has no phrase.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -136,10 +136,10 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _narrowed(block: Block, k: int, below: int, bits: np.ndarray | None) -> np.ndarray:
+def _narrowed(block: Block, k: int, below: int, bits: np.ndarray) -> np.ndarray:
     """Places of phrases of k words all of whose parts of ``below`` words are marked."""
     at = block.places(k)
-    if bits is not None and len(at):
+    if len(at):
         marked = _marked(bits, block.hashes(below))
         for j in range(k - below + 1):
             at = at[marked[at + j]]
@@ -166,63 +166,84 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield Block(held)
 
 
-def _frequent_hashes(dictionary: DataFrame, sizes: list[int], below: int, bits, least: int) -> np.ndarray:
-    """The bitmap of the hashes of phrases of ``sizes`` words with ``least`` occurrences or more."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value if bits is not None else None
-        for block in _blocks(batches):
-            for k in sizes:
-                at = _narrowed(block, k, below, known)
-                if len(at):
-                    keys, sums, _ = _summed(block.hashes(k)[at], block.n[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["h", "n"])
-
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """One bit for each hash ``h``, 2^BITS in all, however many rows were counted."""
     slot = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
-    frequent = dictionary.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    parts = frequent.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+    parts = hashes.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
     )
     out = np.zeros(1 << (BITS - 3), np.uint8)
-    for row in parts.toLocalIterator():  # 2^BITS bits in all, however many rows were counted
+    for row in parts.toLocalIterator():
         part = np.frombuffer(row["bits"], np.uint8)
         at = (row["bucket"] - 1) * 4096
         out[at : at + len(part)] = part[: len(out) - at]
     return out
 
 
+def _counted(dictionary: DataFrame, sizes: list[int], below: int, bits, least: int) -> DataFrame:
+    """The hashes of phrases of ``sizes`` words with ``least`` occurrences or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            for k in sizes:
+                at = _narrowed(block, k, below, bits.value)
+                if len(at):
+                    keys, sums, _ = _summed(block.hashes(k)[at], block.n[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["h", "n"])
+
+    return dictionary.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _spelled(block: Block, k: int, at: np.ndarray) -> pa.RecordBatch:
+    """The distinct phrases of k words at these places: language, text, hash and occurrences."""
+    # Numbers of the phrases within this block, a word at a time: exact, and never above 2^63.
+    number = block.lang[at]
+    for j in range(k):
+        number = number * len(block.words) + block.code[at + j]
+        if j < k - 1:
+            number = np.unique(number, return_inverse=True)[1]
+    _, sums, first = _summed(number, block.n[at])
+    first = at[first]
+    words = [block.words.take(pa.array(block.code[first + j])) for j in range(k)]
+    columns = [
+        block.langs.take(pa.array(block.lang[first])),
+        pa.array(np.full(len(first), k, np.int32)),
+        pc.binary_join_element_wise(*words, " ") if k > 1 else words[0],
+        pa.array(block.hashes(k)[first]),
+        pa.array(sums),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "h", "f"])
+
+
+def _exact(dictionary: DataFrame, sizes: list[int], keep: Callable[[Block, int], np.ndarray], least: int) -> DataFrame:
+    """Phrases of ``sizes`` words at the places that ``keep`` names, with ``least`` occurrences or more, by their text."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            for k in sizes:
+                at = keep(block, k)
+                if len(at):
+                    yield _spelled(block, k, at)
+
+    found = dictionary.mapInArrow(spell, "lang string, words int, phrase string, h long, f long")
+    return found.groupBy("lang", "words", "phrase", "h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
 def frequent_phrases(dictionary: DataFrame, max_words: int, least: int) -> DataFrame:
-    """``lang``, ``words``, ``phrase`` and ``f`` of every phrase of 1 to ``max_words`` words that occurs ``least`` times."""
+    """``lang``, ``words``, ``phrase``, ``h`` and ``f`` of every phrase of 1 to ``max_words`` words that occurs ``least`` times."""
     context = dictionary.sparkSession.sparkContext
-    marks = {1: context.broadcast(_frequent_hashes(dictionary, [1], 1, None, least))}
-    marks[2] = context.broadcast(_frequent_hashes(dictionary, [2], 1, marks[1], least))
+    single = materialise(_exact(dictionary, [1], Block.places, least), "frequent-words")
+    marks = {1: context.broadcast(_bitmap(single))}
+    marks[2] = context.broadcast(_bitmap(_counted(dictionary, [2], 1, marks[1], least)))
     if max_words > 2:
-        longer = context.broadcast(_frequent_hashes(dictionary, list(range(3, max_words + 1)), 2, marks[2], least))
+        longer = context.broadcast(_bitmap(_counted(dictionary, list(range(3, max_words + 1)), 2, marks[2], least)))
         marks |= {k: longer for k in range(3, max_words + 1)}
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            for k in range(1, max_words + 1):
-                at = _narrowed(block, k, min(k, 2), marks[min(k, 2)].value)
-                if k > 2 and len(at):
-                    at = at[_marked(marks[k].value, block.hashes(k)[at])]
-                if not len(at):
-                    continue
-                # Numbers of the distinct phrases of this block, a word at a time: exact, and never above 2^63.
-                number = block.lang[at]
-                for j in range(k):
-                    number = np.unique(number * len(block.words) + block.code[at + j], return_inverse=True)[1]
-                _, sums, first = _summed(number, block.n[at])
-                first = at[first]
-                spelled = [block.words.take(pa.array(block.code[first + j])) for j in range(k)]
-                phrase = pc.binary_join_element_wise(*spelled, " ") if k > 1 else spelled[0]
-                yield pa.RecordBatch.from_arrays(
-                    [block.langs.take(pa.array(block.lang[first])), pa.array(np.full(len(first), k, np.int32)), phrase, pa.array(sums)],
-                    ["lang", "words", "phrase", "f"],
-                )
-
-    spelled = dictionary.mapInArrow(spell, "lang string, words int, phrase string, f long")
-    return spelled.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    def marked(block: Block, k: int) -> np.ndarray:
+        at = _narrowed(block, k, 2, marks[2].value)
+        return at[_marked(marks[k].value, block.hashes(k)[at])] if k > 2 and len(at) else at
+
+    return single.unionByName(_exact(dictionary, list(range(2, max_words + 1)), marked, least))
 
 
 def _wide(column: str) -> Column:
