@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairrank.functions.stats import round6
+from pairrank.operators import boosting as bo
 from pairrank.operators import features as ft
 from pairrank.operators import fairness as fr
 from pairrank.operators import guards as gd
@@ -30,6 +31,7 @@ from pairrank.plans.entities import (
 )
 from pairrank.plans.registry import query
 from pairrank.session import materialise
+from pairrank.sources import models as md
 from pairrank.sources import tables as tb
 
 KEYS = ["job_id", "candidate_id"]
@@ -303,38 +305,41 @@ def lambda_gradients(spark, sf_dir):
     return found.select("job_id", *RANK_IDS, "score", round6("gradient").alias("gradient"), round6("hessian").alias("hessian"))
 
 
-def _sides(spark, sf_dir):
-    """Train and held-out postings, from features written once."""
-    return tr.train_valid(materialise(features(spark, sf_dir), "features"), "job_id", seed=42)
+def _split(rows):
+    return tr.train_valid(rows, "job_id", seed=42)
+
+
+def _fitted(spark, sf_dir):
+    """The model of the default settings on these features, fitted by whoever asks first."""
+    return md.fitted(features(spark, sf_dir), _split, "job_id", ["candidate_id"])
 
 
 @query("rank_boost_fit")
 def rank_boost_fit(spark, sf_dir):
     """A fit on the pair features with the default rounds and early stopping; its validation quality per round."""
-    train, valid = _sides(spark, sf_dir)
-    return tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"]).history
+    return _fitted(spark, sf_dir)["history"].select("round", round6("ndcg_at_10").alias("ndcg_at_10"))
 
 
 @query("grid_select")
 def grid_select(spark, sf_dir):
-    """Every setting of the default grid, each fitted with the default rounds and early stopping."""
-    train, valid = _sides(spark, sf_dir)
-    return tr.grid_select(train, valid, "job_id", ["candidate_id"]).trials
+    """Every setting of the default grid with the default rounds and early stopping, side by side."""
+    train, valid = _split(materialise(features(spark, sf_dir), "features"))
+    return bo.grid_select(train, valid, "job_id", ["candidate_id"]).trials
 
 
 @query("predict_scores")
 def predict_scores(spark, sf_dir):
-    train, valid = _sides(spark, sf_dir)
-    model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"]).model
-    return tr.predict_scores(model, valid).select(*KEYS, round6("score").alias("score"))
+    """Every pair scored by the stored ensemble."""
+    model = md.ensemble(_fitted(spark, sf_dir))
+    return bo.predict_scores(model, features(spark, sf_dir)).select(*KEYS, round6("score").alias("score"))
 
 
 @query("attribute_trees")
 def attribute_trees(spark, sf_dir):
-    """Shapley contributions of a fitted ensemble for every held-out pair, with the additivity gap."""
-    train, valid = _sides(spark, sf_dir)
-    model = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"]).model
-    explained = tr.attribute_trees(model, tr.predict_scores(model, valid))
+    """Shapley contributions of the stored ensemble for every held-out pair, with the additivity gap."""
+    model = md.ensemble(_fitted(spark, sf_dir))
+    _, valid = _split(materialise(features(spark, sf_dir), "features"))
+    explained = bo.attribute_trees(model, bo.predict_scores(model, valid))
     total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
     return explained.select(
         *KEYS, round6("score").alias("score"), round6("base_value").alias("base_value"),

@@ -110,38 +110,6 @@ def test_requirements_full(spark):
     assert row["badge"] == "3 of 6 requirements met · 2 not stated"
 
 
-def tree():
-    leaf = lambda v, c: tr.Node(float(c), float(v))
-    right = tr.Node(6.0, 0.0, 2, 1.5, leaf(3, 2), tr.Node(4.0, 0.0, 0, 2.5, leaf(-1, 1), leaf(5, 3)))
-    return tr.Node(10.0, 0.0, 0, 0.5, leaf(1, 4), right)
-
-
-def expected_value(node, x, known):
-    if node.feature < 0:
-        return node.value
-    if node.feature in known:
-        return expected_value(node.left if x[node.feature] <= node.threshold else node.right, x, known)
-    return sum(child.cover / node.cover * expected_value(child, x, known) for child in (node.left, node.right))
-
-
-def test_tree_contributions_equal_brute_force_shapley():
-    model = tr.Ensemble(("a", "b", "c"), (tree(), tr.Node(4.0, 0.0, 1, 0.0, tr.Node(1.0, 2.0), tr.Node(3.0, -2.0))))
-    rows = np.array(list(itertools.product([0.0, 1.0, 3.0], [-1.0, 1.0], [1.0, 2.0])))
-    phi, base = tr._shapley(model, rows)
-    value = lambda x, s: sum(expected_value(t, x, s) for t in model.trees)
-    for x, got in zip(rows, phi, strict=True):
-        assert base == pytest.approx(value(x, set()))
-        for p in range(3):
-            others = [q for q in range(3) if q != p]
-            want = sum(
-                math.factorial(k) * math.factorial(2 - k) / 6 * (value(x, {*s, p}) - value(x, set(s)))
-                for k in range(3)
-                for s in itertools.combinations(others, k)
-            )
-            assert got[p] == pytest.approx(want)
-        assert base + got.sum() == pytest.approx(value(x, {0, 1, 2}))
-
-
 def gradients_by_hand(rows, scale):
     """All pairs of one posting, straight from the formula."""
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
@@ -175,63 +143,3 @@ def test_gradients_equal_all_pairs(spark, max_group_rows):
         g, h = want[r["job_id"]][r["item"]]
         assert r["gradient"] == pytest.approx(g, abs=1e-9)
         assert r["hessian"] == pytest.approx(h, abs=1e-9)
-
-
-def test_boosting_learns_and_explains(spark):
-    train, valid = tr.train_valid(frame(spark, n_jobs=8), "job_id", seed=1)
-    settings = tr.BoostSettings(max_rounds=3, patience=3, min_rows_in_leaf=5, learning_rate=0.3, checkpoint_every=2)
-    fitted = tr.rank_boost_fit(train, valid, "job_id", ["candidate_id"], settings)
-    history = [r["ndcg_at_10"] for r in fitted.history.orderBy("round").collect()]
-    assert fitted.best_ndcg == max(history)
-    assert len(fitted.model.trees) == fitted.best_round >= 1
-    scored = tr.predict_scores(fitted.model, valid)
-    told = tr.attribute_trees(fitted.model, scored)
-    gap = F.abs(F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c) - F.col("score"))
-    assert told.agg(F.max(gap)).first()[0] < 1e-9
-    assert told.agg(F.min(F.size("contributions"))).first()[0] == 12
-
-
-@pytest.mark.parametrize("name", ["rank_boost_fit", "grid_select", "predict_scores", "attribute_trees"])
-def test_fits_are_registered_with_the_defaults(spark, monkeypatch, name):
-    from pairrank.plans import q_pairs
-    from pairrank.plans.registry import QUERIES
-
-    fitted = []
-
-    def fit(train, valid, by, ids, settings=tr.BoostSettings()):
-        fitted.append(settings)
-        return tr.FitResult(tr.Ensemble(tuple(ft.ml_columns()), ()), spark.range(1), 1, 0.5, settings)
-
-    pairs = frame(spark, n_jobs=2)
-    monkeypatch.setattr(q_pairs, "_sides", lambda spark, sf_dir: (pairs, pairs))
-    monkeypatch.setattr(tr, "rank_boost_fit", fit)
-    QUERIES[name](spark, "")
-    grid = itertools.product(*tr.GRID.values()) if name == "grid_select" else [(15, 0.05, 50)]
-    assert [(s.max_leaves, s.learning_rate, s.min_rows_in_leaf) for s in fitted] == list(grid)
-    assert {(s.max_rounds, s.patience) for s in fitted} == {(500, 50)}
-
-
-def test_an_ensemble_of_all_rounds_scores_and_explains(spark):
-    """As many trees as a fit with the default rounds may return."""
-    rng = np.random.default_rng(7)
-    names = tuple(ft.ml_columns())
-
-    def tree(depth, cover):
-        if depth == 0:
-            return tr.Node(cover, float(rng.normal()) / 100)
-        at = int(rng.integers(0, len(names)))
-        return tr.Node(cover, 0.0, at, float(rng.random()), tree(depth - 1, cover / 2), tree(depth - 1, cover / 2))
-
-    model = tr.Ensemble(names, tuple(tree(3, 64.0) for _ in range(tr.MAX_ROUNDS)))
-    rows = frame(spark, n_jobs=1)
-    encoded = np.array([list(r) for r in rows.select(*[c.alias(n) for n, c in ft.ml_columns().items()]).collect()], dtype=float)
-
-    def value(node, row):
-        while node.feature >= 0:
-            node = node.left if row[node.feature] <= node.threshold else node.right
-        return node.value
-
-    told = tr.attribute_trees(model, tr.predict_scores(model, rows)).collect()
-    want = sorted(sum(value(t, r) for t in model.trees) for r in encoded)
-    assert sorted(r["score"] for r in told) == pytest.approx(want)
-    assert all(r["base_value"] + sum(r["contributions"]) == pytest.approx(r["score"]) for r in told)
