@@ -16,14 +16,18 @@ RELEVANT_GRADE = 2
 CIRCULARITY_LIMIT = 0.95
 
 
-def _desc_key(score: str, ids: Sequence[str]) -> Column:
-    """A struct whose ascending order is that of the rank window: NaN first, score descending, nulls last, then ids."""
-    return F.struct(
-        F.col(score).isNull().alias("absent"),
-        (~F.coalesce(F.isnan(score), F.lit(False))).alias("number"),
-        (-F.col(score)).alias("negated"),
-        *[F.col(i) for i in ids],
-    )
+def _place(score: str, ids: Sequence[str]) -> Column:
+    """What decides the place of a row in its group, for :func:`_ahead`."""
+    return F.struct(F.col(score).alias("score"), F.struct(*[F.col(i) for i in ids]).alias("ids"))
+
+
+def _ahead(a: Column, b: Column) -> Column:
+    """Whether place ``a`` comes before ``b`` in the order of the rank window: score descending, nulls last, then ids.
+
+    Scores are only compared, never computed with, so any type that can be ordered will do. NaN is the largest number.
+    """
+    higher = F.coalesce(a["score"] > b["score"], a["score"].isNotNull() & b["score"].isNull())
+    return higher | (a["score"].eqNullSafe(b["score"]) & (a["ids"] < b["ids"]))
 
 
 def has_crowded_group(df: DataFrame, by: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
@@ -98,11 +102,11 @@ def _rank_split(df, by, score, ids, running, max_group_rows) -> DataFrame:
     and split points are broadcast, and the exchange is by (group, slice). There are
     at most some eight split points for every ``max_group_rows`` rows; equal ones count once.
     """
-    key = _desc_key(score, ids)
+    key = _place(score, ids)
     slices = F.ceil(F.col("group_rows") / F.lit(max_group_rows)) * 4
     stride = F.greatest(F.lit(1), (F.col("group_rows") / slices).cast("bigint"))
     chosen = df.where(F.pmod(F.xxhash64(*[F.col(c) for c in [*by, *ids, score]]), stride) == 0)
-    cuts = chosen.groupBy(*by).agg(F.array_sort(F.collect_set(key)).alias("cuts"))
+    cuts = chosen.groupBy(*by).agg(F.array_sort(F.collect_set(key), lambda a, b: F.when(_ahead(a, b), -1).when(_ahead(b, a), 1).otherwise(0)).alias("cuts"))
     placed = _join_on(df.drop("group_rows"), F.broadcast(cuts), by, "left")
     placed = placed.withColumn("slice", _slices_before(F.col("cuts"), key)).drop("cuts")
 
@@ -132,7 +136,7 @@ def _slices_before(cuts: Column, key: Column, steps: int = 20) -> Column:
         F.array(*[F.lit(1 << s) for s in range(steps - 1, -1, -1)]),
         F.lit(0),
         lambda low, step: F.when(
-            (low + step <= F.coalesce(F.size(cuts), F.lit(0))) & (F.get(cuts, low + step - 1) < key), low + step
+            (low + step <= F.coalesce(F.size(cuts), F.lit(0))) & _ahead(F.get(cuts, low + step - 1), key), low + step
         ).otherwise(low),
     )
 

@@ -52,9 +52,11 @@ def _ordered(spark, sf_dir, keep=()):
 
 @query(
     "attribute_additive",
-    f"""WITH {CONTRIBUTION_SQL} SELECT job_id, candidate_id, round(base_value, 6) AS base_value, round(c_exp_gap, 6) AS exp_gap,
-    round(c_cert_overlap_ratio, 6) AS cert_overlap_ratio, round(c_missing_critical_cert, 6) AS missing_critical_cert,
-    round(c_shift_match, 6) AS shift_match, 0.0 AS all_others FROM explained""",
+    f"""WITH {FEATURES_SQL} SELECT job_id, candidate_id,
+    round(avg(t_cert) OVER () + avg(t_gap) OVER () + avg(t_shift) OVER () + avg(t_critical) OVER (), 6) AS base_value,
+    round(t_gap - avg(t_gap) OVER (), 6) AS exp_gap, round(t_cert - avg(t_cert) OVER (), 6) AS cert_overlap_ratio,
+    round(t_critical - avg(t_critical) OVER (), 6) AS missing_critical_cert, round(t_shift - avg(t_shift) OVER (), 6) AS shift_match,
+    CAST(0 AS DOUBLE) AS all_others FROM scored""",
 )
 def attribute_additive(spark, sf_dir):
     rows = explained(spark, sf_dir)
@@ -98,8 +100,8 @@ def ranked_contributions(spark, sf_dir):
 
 @query(
     "additivity_check",
-    f"""WITH {CONTRIBUTION_SQL} SELECT job_id, candidate_id, round(score, 6) AS score, round(base_value + c_exp_gap + c_cert_overlap_ratio
-    + c_shift_match + c_missing_critical_cert, 6) AS sum, true AS holds FROM explained""",
+    f"""WITH {FEATURES_SQL} SELECT job_id, candidate_id, round(score, 6) AS score,
+    round(t_gap + t_cert + t_shift + t_critical, 6) AS sum, true AS holds FROM scored""",
 )
 def additivity_check(spark, sf_dir):
     checked = ex.additivity_check(explained(spark, sf_dir), "score")

@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -145,3 +146,20 @@ def test_a_grade_beyond_the_scale_is_an_error_or_counts(spark):
     assert row["ndcg_at_10"] == pytest.approx((15 / math.log2(3) + 3 / 2) / (15 + 3 / math.log2(3)))
     got = {r["item"]: r["gradient"] for r in tr.lambda_gradients(df, "job_id", "score", ["item"], max_grade=4).collect()}
     assert sum(got.values()) == pytest.approx(0) and got[1] > 0 > got[0]
+
+
+@pytest.mark.parametrize(
+    ("kind", "scores"),
+    [
+        ("BIGINT", [-(2**63), 2**63 - 1, 0, None, 5]),
+        ("STRING", ["b", "", None, "ä", "zz"]),
+        ("DOUBLE", [float("nan"), float("-inf"), None, -0.0, 1e300]),
+        ("DATE", [datetime.date(2020, 1, 1), None, datetime.date(1, 1, 1), datetime.date(9999, 12, 31), None]),
+    ],
+)
+def test_any_orderable_score_ranks_alike_however_crowded(spark, kind, scores):
+    rows = [(1, scores[k % 5], None if k % 17 == 0 else k // 3, k) for k in range(200)]
+    df = spark.createDataFrame(rows, f"job INT, score {kind}, id INT, id2 INT")
+    plain = rk.rank_within(df, ["job"], "score", ["id", "id2"], crowded=False).collect()
+    split = rk.rank_within(df, ["job"], "score", ["id", "id2"], max_group_rows=5).collect()
+    assert {r["id2"]: r["rank"] for r in split} == {r["id2"]: r["rank"] for r in plain} and len(split) == 200
