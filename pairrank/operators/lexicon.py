@@ -58,11 +58,14 @@ def phrase_hits(docs: DataFrame, row: str, canonical: Column, vocab: DataFrame)
     listed = vocab.withColumn("v_words", F.split("v_phrase", " "))
     sizes = listed.agg(F.collect_set(F.size("v_words")).alias("sizes")).scalar()
     words = docs.select(F.col(row), F.split(canonical, " ").alias("words")).withColumn("sizes", sizes)
-    found = words.select(
-        row,
-        # A text that repeats a phrase sends it once.
-        F.explode(F.array_distinct(F.transform(_windows(F.col("words"), F.col("sizes")), lambda w: F.array_join(w["words"], " ")))).alias("window"),
-    )
+
+    def of_size(n: Column) -> Column:
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1))
+        longer = F.transform(starts, lambda at: F.array_join(F.slice("words", at, n), " "))
+        return F.coalesce(F.when(n == 1, F.col("words")).otherwise(longer), F.array().cast("array<string>"))
+
+    # A text that repeats a phrase sends it once.
+    found = words.select(row, F.explode(F.array_distinct(F.flatten(F.transform("sizes", of_size)))).alias("window"))
     return found.join(vocab, F.col("window") == F.col("v_phrase")).select(row, "v_phrase", "v_code").distinct()
 
 
