@@ -12,8 +12,8 @@ from pairrank.operators import ranking as rk
 from pairrank.operators import shortlist as sl
 from pairrank.plans.entities import FEATURES_SQL, GATE, pairs, table
 from pairrank.plans.q_pairs import KEYS, features, scored
-from pairrank.plans.registry import query
-from pairrank.session import materialise
+from pairrank.plans.registry import ORACLES, query
+from pairrank.session import materialise, scratch_path
 
 VERSION = "v1"
 REQUEST = "r1"
@@ -366,6 +366,14 @@ def shortlist_csv(spark, sf_dir):
     return sl.shortlist_csv(_full_shortlist(spark, sf_dir), "job_id", VERSION, REQUEST)
 
 
+@query("shortlist_csv_files", ORACLES["shortlist_csv"])
+def shortlist_csv_files(spark, sf_dir):
+    """Every list exported to numbered files in the shared folder, then read back in order."""
+    path = scratch_path(spark, "lists")
+    sl.write_csv_lines(shortlist_csv(spark, sf_dir), "job_id", path)
+    return sl.read_csv_lines(spark, path, "job_id").withColumn("job_id", F.col("job_id").cast("bigint"))
+
+
 @query(
     "export_name",
     "SELECT DISTINCT s_suppkey AS job_id, 'shortlist-' || regexp_replace(s_name, '[^a-zA-Z0-9._-]+', '_', 'g') || '-v1.csv' AS file_name FROM supplier",

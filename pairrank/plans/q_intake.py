@@ -16,6 +16,7 @@ from pairrank.plans.registry import query
 from pairrank.session import scratch_path
 from pairrank.sources import files as fl
 from pairrank.sources import tables as tb
+from pairrank.sources import versions as vs
 from pairrank.streaming import monitor as sm
 
 POSTING_OUT = ("job_id", "min_years_experience", "shift_pattern", "site_type", "driving_required")
@@ -203,11 +204,46 @@ TABLES = "*.parquet"
 def intake_triage(spark, sf_dir):
     """The data files themselves, under names that make each rule fire."""
     names = ("cv.txt", "cv.pdf", "cv.docx", "old.doc", ".txt", "notes.md", "sheet.xlsx")
-    files = fl.read_files(spark, sf_dir, TABLES)
+    heads = fl.read_files(spark, sf_dir, TABLES, fl.MAX_UPLOAD_BYTES).select("filename", F.substring("content", 1, 5).alias("content"))
+    files = fl.list_files(spark, sf_dir, TABLES).join(heads, "filename", "left")
     tried = files.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("filename"), F.col("filename").alias("origin"), "length", "content")
     return fl.intake_triage(tried).select("origin", "filename", "extension", "kind", "reason")
 
 
+# Names and first bytes that, put on the documents in turn, make every rule fire.
+UPLOAD_NAMES = ("cv.txt", "CV.PDF", "cv.docx", "old.doc", ".txt", "notes.md", "sheet.xlsx", "two.dots.text", "plain")
+UPLOAD_HEADS = ("%PDF-", "PK\x03\x04", "")
+_MB = "CAST(floor(length / 1048576.0 * 10 + 0.5) / 10 AS DECIMAL(18,1))"
+_UPLOADS_SQL = f"""uploads AS (SELECT doc_id, text, [{", ".join(f"'{n}'" for n in UPLOAD_NAMES)}][CAST(doc_id % {len(UPLOAD_NAMES)} AS INT) + 1] AS filename,
+      CAST(doc_id // {len(UPLOAD_NAMES)} AS BIGINT) AS turn FROM documents),
+    sized AS (SELECT doc_id, filename, ['%PDF-', 'PK' || chr(3) || chr(4), ''][CAST(turn % 3 AS INT) + 1] AS head,
+      CASE WHEN turn % 5 = 0 THEN 0 WHEN turn % 5 = 1 THEN 5242881 + 104857 * (turn % 1000) ELSE strlen(text) END AS length,
+      CASE WHEN filename = 'plain' OR filename = '.txt' THEN '' ELSE lower(regexp_extract(filename, '[.][^.]*$')) END AS extension FROM uploads)"""
+
+
+@query(
+    "intake_triage_documents",
+    f"""WITH {_UPLOADS_SQL}, judged AS (SELECT doc_id, extension, CASE
+      WHEN extension IN ('.doc', '.rtf', '.odt', '.pages') THEN extension || ' is an older format this cannot read. Save it as .docx or .txt and upload again.'
+      WHEN extension NOT IN ('.txt', '.text', '.md', '.pdf', '.docx') THEN CASE WHEN extension = '' THEN 'this file' ELSE extension END || ' is not supported. Accepted: .docx, .md, .pdf, .text, .txt.'
+      WHEN length = 0 THEN 'this file is empty'
+      WHEN length > 5242880 THEN {_MB} || ' MB is too large for a CV — the limit is 5 MB.'
+      WHEN extension = '.pdf' AND head <> '%PDF-' THEN 'this file is named .pdf but its contents are not a PDF'
+      WHEN extension = '.docx' AND head <> 'PK' || chr(3) || chr(4) THEN 'this file is named .docx but its contents are not a Word document' END AS reason FROM sized)
+    SELECT doc_id, extension, CASE WHEN reason IS NOT NULL THEN NULL WHEN extension = '.pdf' THEN 'pdf' WHEN extension = '.docx' THEN 'docx' ELSE 'text' END AS kind, reason FROM judged""",
+)
+def intake_triage_documents(spark, sf_dir):
+    """Every document as an upload whose name, length and first bytes go by its id."""
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    turn = F.floor(F.col("doc_id") / len(UPLOAD_NAMES)).cast("bigint")
+    uploads = table(spark, sf_dir, "documents").select(
+        "doc_id", pick(UPLOAD_NAMES, F.col("doc_id") % len(UPLOAD_NAMES)).alias("filename"),
+        F.when(turn % 5 == 0, F.lit(0)).when(turn % 5 == 1, 5242881 + 104857 * (turn % 1000)).otherwise(F.octet_length("text")).alias("length"),
+        F.encode(pick(UPLOAD_HEADS, turn % len(UPLOAD_HEADS)), "UTF-8").alias("content"),
+    )
+    return fl.intake_triage(uploads).select("doc_id", "extension", "kind", "reason")
+
+
 @query(
     "decode_plain",
     "SELECT doc_id, md5(text) AS as_utf8, true AS same_text FROM documents",
@@ -231,7 +267,7 @@ _FILES_SQL = ", ".join(f"('{n}')" for n in FILE_NAMES)
 )
 def integrity_check(spark, sf_dir):
     """Files against a manifest that has lost one record, gained one and altered one."""
-    hashes = fl.file_hashes(fl.read_files(spark, sf_dir, TABLES))
+    hashes = fl.hash_folder(spark, sf_dir, TABLES).drop("length")
     altered = hashes.where("filename <> 'nation.parquet'").select(
         "filename",
         F.when(F.col("filename") == "region.parquet", F.lit("0" * 64)).when(F.col("filename") == "part.parquet", None).otherwise(F.col("sha256")).alias("sha256"),
@@ -266,6 +302,27 @@ def run_log(spark, sf_dir):
     return logged.select("version", "seed", "params", F.to_json("metrics").alias("metrics"), counts.select("n_rows").scalar().alias("n_rows"))
 
 
+@query(
+    "run_commits",
+    """WITH r AS (SELECT 'v1' AS version, 1 AS seed, count(*) AS n_rows, 'open' AS metric, CAST(count(*) FILTER (o_orderstatus = 'O') AS DOUBLE) AS value FROM orders
+    UNION ALL SELECT 'v2', 2, count(*), 'most', max(l_quantity) FROM lineitem UNION ALL SELECT 'v2', 2, count(*), 'parts', count(DISTINCT l_partkey) FROM lineitem)
+    SELECT version, seed, 't' || seed AS made_from, n_rows, n_rows AS n_kept, metric, value FROM r""",
+)
+def run_commits(spark, sf_dir):
+    """Two runs published with counts of their tables; a repeat of the first is refused and changes nothing."""
+    root = scratch_path(spark, "store")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity")
+    tries = [
+        vs.commit_version(orders, root, "v1", 1, {"from": "t1"}, {"open": F.count_if(F.col("o_orderstatus") == "O")}),
+        vs.commit_version(lines, root, "v2", 2, {"from": "t2"}, {"most": F.max("l_quantity"), "parts": F.count_distinct("l_partkey")}),
+        vs.commit_version(lines, root, "v1", 3, {"from": "t3"}, {"most": F.max("l_quantity")}),
+    ]
+    kept = [vs.read_version(spark, root, t.version).agg(F.lit(t.version).alias("version"), F.count(F.lit(1)).alias("n_kept")) for t in tries if t.published]
+    runs = vs.read_runs(spark, root).join(kept[0].unionByName(kept[1]), "version")
+    return runs.select("version", "seed", F.col("params")["from"].alias("made_from"), "n_rows", "n_kept", F.explode("metrics").alias("metric", "value"))
+
+
 @query(
     "redact",
     """SELECT event_id, '{"k":"[redacted]"}' AS props FROM events""",
@@ -320,6 +377,38 @@ def event_counters_stream(spark, sf_dir):
     return sm.stream_counters(sm.read_stream(spark, sf_dir, "events.parquet", schema), ["event_type"])
 
 
+_FEEDS_SQL = """e AS (SELECT *, coalesce(event_id % 4, 0) >= 2 AS second, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end FROM events),
+    m AS (SELECT max(ts) FILTER (NOT second) - INTERVAL 10 DAY AS first_mark, max(ts) - INTERVAL 10 DAY AS last_mark FROM e),
+    judged AS (SELECT e.*, ts IS NULL OR (second AND coalesce(window_end <= first_mark, false)) AS late, last_mark FROM e, m)"""
+
+
+def _windowed_events(spark, sf_dir):
+    """Events arriving in two feeds, the second read by a new run that goes on from the checkpoint."""
+    events, path = table(spark, sf_dir, "events"), scratch_path(spark, "feeds")
+    second = F.coalesce(F.col("event_id") % 4, F.lit(0)) >= 2
+    for feed in (events.where(~second), events.where(second)):
+        feed.write.mode("append").parquet(f"{path}/feed")
+        stream = sm.read_stream(spark, f"{path}/feed", "*.parquet", events.schema, None)
+        found = sm.windowed_with_late(stream, "ts", ["event_type"], "1 day", "10 days", f"{path}/windows")
+    return found
+
+
+@query(
+    "event_windows",
+    f"""WITH {_FEEDS_SQL} SELECT strftime(window_end - INTERVAL 1 DAY, '%Y-%m-%d') AS day, event_type, count(*) AS n, coalesce(window_end <= last_mark, false) AS closed
+    FROM judged WHERE NOT late GROUP BY window_end, event_type, last_mark""",
+)
+def event_windows(spark, sf_dir):
+    counts, _ = _windowed_events(spark, sf_dir)
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "closed")
+
+
+@query("event_windows_late", f"WITH {_FEEDS_SQL} SELECT event_id, event_type, user_id, value FROM judged WHERE late")
+def event_windows_late(spark, sf_dir):
+    _, late = _windowed_events(spark, sf_dir)
+    return late.select("event_id", "event_type", "user_id", "value")
+
+
 @query(
     "drift_snapshot_stream",
     "SELECT 'value' AS feature, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev FROM events",

@@ -151,11 +151,33 @@ def test_csv_export(spark, tmp_path):
     assert text[2:5] == ["", sl.CSV_HEADER, "1,c1,ann.pdf,2.0000,relative_ranking_score,0,one | two"]
     assert text[6] == '3,c3,"B, ""x"".txt",1.0000,relative_ranking_score,1,one | two'
     sl.write_csv_lines(lines, "job_id", str(tmp_path / "out"))
-    parts = sorted((tmp_path / "out" / "job_id=j").glob("part-*"))
+    parts = sorted((tmp_path / "out" / "posting=pj" / "first_line=1").glob("part-*"))
     written = b"".join(p.read_bytes() for p in parts)
     assert written.decode() == "".join(line + "\r\n" for line in text)
 
 
+def test_long_lists_are_split_into_numbered_files(spark, tmp_path):
+    rows = [(j, n, f"{j} é {n}" if n % 7 else "") for j in ("a", "b/c=d", "", None) for n in range(1, 48)]
+    rows[4] = ("a", 5, "one\r\ntwo")
+    lines = spark.createDataFrame(rows, "job_id STRING, line_no INT, line STRING").repartition(5)
+    path = str(tmp_path / "lists")
+    sl.write_csv_lines(lines, "job_id", path, lines_per_file=10)
+    assert sorted(p.name for p in (tmp_path / "lists" / "posting=pa").iterdir()) == [f"first_line={n}" for n in (1, 11, 21, 31, 41)]
+    assert all(len(list(p.glob("part-*"))) == 1 for p in (tmp_path / "lists" / "posting=pa").iterdir())
+    rows[4] = ("a", 5, "one\ntwo")
+    back = sl.read_csv_lines(spark, path, "job_id")
+    assert {tuple(r) for r in back.collect()} == set(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # files read in many small splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert {tuple(r) for r in sl.read_csv_lines(spark, path, "job_id").collect()} == set(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    nothing = str(tmp_path / "none")
+    sl.write_csv_lines(lines.limit(0), "job_id", nothing)
+    assert sl.read_csv_lines(spark, nothing, "job_id").count() == 0
+
+
 def test_drift_skips_nulls_and_single_values(spark):
     df = spark.createDataFrame([(1.0, None, None), (3.0, 5.0, None)], "a DOUBLE, b DOUBLE, c DOUBLE")
     got = {r["feature"]: (r["n"], r["mean"], r["stdev"]) for r in mo.feature_drift_snapshot(df, ["a", "b", "c"]).collect()}

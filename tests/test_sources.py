@@ -1,10 +1,12 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairrank.sources import files as fl
 from pairrank.sources import tables as tb
+from pairrank.sources import versions as vs
 from pairrank.streaming import monitor as sm
 
 DOCS = {
@@ -135,3 +137,83 @@ def test_windowed_counts_close_with_the_watermark(spark, tmp_path):
     query.awaitTermination()
     closed = spark.read.parquet(str(tmp_path / "out"))
     assert closed.agg(F.sum("n")).first()[0] == 20  # the newest window stays open
+
+
+def test_triage_of_a_folder_opens_only_what_it_must(spark, tmp_path):
+    for name, content in {**DOCS, "LOUD.PDF": b"%PDF-1", "sham.Docx": b"no", "huge.pdf": b"%PDF-" + b"x" * (5 * 1024 * 1024)}.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["filename"]: r for r in fl.triage_folder(spark, str(tmp_path)).collect()}
+    want = {r["filename"]: (r["kind"], r["reason"]) for r in fl.intake_triage(files(spark)).collect()}
+    assert {want.pop(n)[1] is not None for n in ("empty.txt", ".txt")} == {True}  # Spark lists neither
+    assert {n: (got[n]["kind"], got[n]["reason"]) for n in want} == want
+    assert got["LOUD.PDF"]["kind"] == "pdf"
+    assert "not a Word document" in got["sham.Docx"]["reason"]
+    assert "too large" in got["huge.pdf"]["reason"]
+    assert got["big.txt"]["length"] == len(DOCS["big.txt"])
+    plan = fl.triage_folder(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "length,5242880" in plan.replace(" ", "")  # the limit is part of the scan
+
+
+def test_long_files_are_reported_not_read(spark, tmp_path):
+    for name in ("small", "long", "unlisted"):
+        (tmp_path / name).write_bytes(name.encode() * 3)
+    hashes = fl.hash_folder(spark, str(tmp_path), limit=24)
+    assert {r["filename"]: (r["length"], r["sha256"] is None) for r in hashes.collect()} == {
+        "small": (15, False), "long": (12, False), "unlisted": (24, False)}
+    hashes = fl.hash_folder(spark, str(tmp_path), limit=14)
+    manifest = spark.createDataFrame([("small", "0"), ("long", "1"), ("gone", "2")], "filename STRING, sha256 STRING")
+    got = {r["filename"]: r["status"] for r in fl.integrity_check(hashes, manifest).collect()}
+    assert got == {"small": "not hashed", "long": "mismatch", "unlisted": "record missing", "gone": "file missing"}
+
+
+def test_commits_are_whole_and_final(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, 2.0), (2, None)], "id INT, x DOUBLE")
+    assert vs.read_runs(spark, root).count() == 0
+    won = vs.commit_version(rows, root, "v1", 7, {"rate": 0.05}, {"mean": F.avg("x"), "none": F.max(F.lit(None).cast("double"))})
+    assert won.published
+    lost = vs.commit_version(rows.limit(0), root, "v1")
+    assert (lost.published, lost.folder) == (False, won.folder)
+    assert vs.commit_version(rows.limit(0), root, "v2.0", metrics={"mean": F.avg("x")}).published
+    runs = {r["version"]: r for r in vs.read_runs(spark, root).collect()}
+    assert (runs["v1"]["n_rows"], runs["v1"]["seed"], runs["v1"]["params"], runs["v1"]["metrics"]) == (2, 7, {"rate": "0.05"}, {"mean": 2.0})
+    assert (runs["v2.0"]["n_rows"], runs["v2.0"]["metrics"]) == (0, {})
+    assert sorted(map(tuple, vs.read_version(spark, root, "v1").collect())) == [(1, 2.0), (2, None)]
+    assert vs.read_version(spark, root, "v2.0").count() == 0
+    with pytest.raises(ValueError, match="not published"):
+        vs.read_version(spark, root, "v3")
+    for name in ("", "../v1", "a/b", ".hidden", "_x"):
+        with pytest.raises(ValueError, match="version name"):
+            vs.commit_version(rows, root, name)
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    root = str(tmp_path / "store")
+    with ThreadPoolExecutor(4) as pool:
+        tries = list(pool.map(lambda n: vs.commit_version(spark.range(n), root, "v1", n), (1, 2, 3, 4)))
+    assert sum(t.published for t in tries) == 1
+    assert len({t.folder for t in tries}) == 1
+    run = vs.read_runs(spark, root).first()
+    assert run["seed"] == run["n_rows"] == vs.read_version(spark, root, "v1").count()
+    assert [p.name for p in (tmp_path / "store" / "data").iterdir()] == [run["folder"].rsplit("/", 1)[1]]  # losers left nothing
+
+
+def test_late_rows_come_out_beside_the_counts(spark, tmp_path):
+    path, at = str(tmp_path / "events"), lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    schema = "ts TIMESTAMP, kind STRING, in_time STRING"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = sm.read_stream(spark, path, "*.parquet", spark.createDataFrame([], schema).schema, None)
+        counts, late = sm.windowed_with_late(stream, "ts", ["kind"], "10 minutes", "5 minutes", str(tmp_path / "w"))
+        return ({(r["window_start"], r["kind"], r["n"], r["closed"]) for r in counts.collect()}, {tuple(r) for r in late.collect()})
+
+    # The first batch has no watermark before it: nothing is late.
+    assert feed([(at(1), "a", None), (at(2), "a", "x"), (at(26), None, "y")]) == (
+        {(at(0), "a", 2, True), (at(20), None, 1, False)}, set())
+    # Watermark 21: the window 10 to 20 is over, 20 to 30 is open. A new run goes on from the checkpoint.
+    late = {(at(19), "a", None), (None, "b", None)}
+    assert feed([*late, (at(20), None, None), (at(50), "a", None)]) == (
+        {(at(0), "a", 2, True), (at(20), None, 2, True), (at(50), "a", 1, False)}, late)
+    # Nothing new: the same again.
+    assert feed([])[1] == late
