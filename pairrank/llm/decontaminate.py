@@ -174,9 +174,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     bad = materialise(
         matches(plain, windows.select("window").distinct())
         .where(F.col("window").isNotNull())
-        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+        .select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest"))
         .distinct(),
         "contaminated",
     )
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__digest"))
-    return docs.join(bad, same, "left_anti")
+    # The row travels as one value, so no column of it can clash with those made here.
+    whole = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("digest")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("digest") == F.col("bad_digest"))
+    return whole.join(bad, same, "left_anti").select("row.*")

@@ -32,31 +32,32 @@ def shard(docs: DataFrame, doc_id: str, text: str, shards: int = 8, seed: int =
     names = [c for c in docs.columns if c.lower() not in made]
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     size, crc = (F.octet_length(body) + 1).cast("bigint"), F.crc32(body)
-    totals = docs.agg(F.sum(size).alias("bytes")).first()
+    # The row travels as one value, so no column of it can clash with those made here.
+    plain = docs.select(
+        F.col(f"`{doc_id}`").alias("id"), crc.alias("crc"), size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    )
+    totals = plain.agg(F.sum("size").alias("bytes")).first()
     buckets = max(1, math.ceil((totals["bytes"] or 0) / bucket_bytes))
-    key = [F.col(f"`{doc_id}`"), crc, size]
-    home = lambda *of: F.xxhash64(F.lit(seed), *of)
+    key = ["id", "crc", "size"]
+    home = F.xxhash64(F.lit(seed), *key)
     # Keys whose rows exceed a bucket: one at most for every bucket_bytes of text.
-    crowded = docs.groupBy(key[0].alias("id"), crc.alias("crc"), size.alias("size")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+    crowded = plain.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     crowded = materialise(
         crowded.where((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select(
-            home("id", "crc", "size").alias("__home"), F.ceil(F.col("bytes") / bucket_bytes).alias("__spread")
-        ).groupBy("__home").agg(F.max("__spread").alias("__spread")), "crowded-keys",
+            home.alias("home"), F.ceil(F.col("bytes") / bucket_bytes).alias("spread")
+        ).groupBy("home").agg(F.max("spread").alias("spread")), "crowded-keys",
     )
     turn = F.lit(0)
     if not crowded.isEmpty():
         # Written before the exchange: the running number of a row depends on where it is read.
-        numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), home(*key).alias("__home"), F.monotonically_increasing_id().alias("__at"))
-        numbered = numbered.join(F.broadcast(crowded) if buckets <= BROADCAST_ROWS else crowded, "__home", "left")
-        docs = materialise(numbered.select("__row.*", F.coalesce(F.pmod("__at", "__spread"), F.lit(0)).alias("__turn")), "numbered")
-        turn = F.col("__turn")
-    scattered = docs.select(
-        F.pmod(F.pmod(home(*key), F.lit(buckets)) + turn, F.lit(buckets)).cast("int").alias("bucket"),
-        F.struct(
-            F.xxhash64(F.lit(seed + 1), *key).alias("order"), size.alias("size"), crc.alias("text_crc32"),
-            F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        ).alias("record"),
-    )
+        numbered = plain.select("*", home.alias("home"), F.monotonically_increasing_id().alias("at"))
+        numbered = numbered.join(F.broadcast(crowded) if buckets <= BROADCAST_ROWS else crowded, "home", "left")
+        plain = materialise(numbered.select(*key, "row", F.coalesce(F.pmod("at", "spread"), F.lit(0)).alias("turn")), "numbered")
+        turn = F.col("turn")
+    scattered = plain.select(
+        F.pmod(F.pmod(home, F.lit(buckets)) + turn, F.lit(buckets)).cast("int").alias("bucket"),
+        F.struct(F.xxhash64(F.lit(seed + 1), *key).alias("order"), "size", F.col("crc").alias("text_crc32"), "row").alias("record"),
+    )
     # The seeded order comes first, so that a bucket is shuffled from the same start on any run.
     dealt = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records"))
     dealt = materialise(dealt.select("bucket", F.posexplode(F.shuffle("records", seed)).alias("place", "record")), "buckets")

@@ -155,24 +155,22 @@ def keep_one(docs: DataFrame, doc_id: str, text: str, distance: int = 3) -> Data
     Rows that repeat the kept id and fingerprint count as one; which of them stays does not
     matter where they are equal.
     """
-    names, mark = docs.columns, "__fingerprint"
-    marked = materialise(
-        fingerprints(docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text")), "__text")
-        .withColumnRenamed("fingerprint", mark)
-        .drop("__text"),
-        "simhash-rows",
+    # The row travels as one value, so no column of it can clash with those made here.
+    whole = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
     )
-    thin = marked.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(mark).alias("fingerprint"))
+    marked = materialise(fingerprints(whole, "text").drop("text"), "simhash-rows")
+    thin = marked.select("doc_id", "fingerprint")
     kept = (
         groups(thin, "doc_id", distance)
         .groupBy("root")
         .agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "fingerprint")).alias("k"))
-        .select(F.col("k.least_id").alias("__id"), F.col("k.fingerprint").alias("__mark"))
+        .select(F.col("k.least_id").alias("kept_id"), F.col("k.fingerprint").alias("kept_mark"))
     )
     kept = materialise(kept, "kept")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fingerprint") == F.col("kept_mark"))
     repeated = thin.groupBy("doc_id", "fingerprint").count().where("count > 1")
     out = marked.join(kept, same, "left_semi")
     if not repeated.isEmpty():
-        out = out.dropDuplicates([doc_id, mark])
-    return out.select(*[F.col(f"`{c}`") for c in names])
+        out = out.dropDuplicates(["doc_id", "fingerprint"])
+    return out.select("row.*")

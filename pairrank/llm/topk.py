@@ -15,8 +15,20 @@ TILE = 1 << 20
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component."""
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("bigint"))
+    """floor(scale * x) of every component; one beyond 64 bits is an error, for a cast would make it another number."""
+    limit = F.lit(2.0**63)
+    large = F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("bigint")
+
+    def floored(x: Column) -> Column:
+        scaled = F.lit(scale) * x.cast("double")
+        return F.when((scaled >= -limit) & (scaled < limit), F.floor(scaled).cast("bigint")).otherwise(large)
+
+    return F.transform(vector, floored)
+
+
+def _largest(values: np.ndarray) -> int:
+    """The largest absolute value, as a Python integer: that of the lowest 64-bit integer fits no other."""
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
 
 
 def usable(vector: Column) -> Column:
@@ -46,10 +58,14 @@ def best_of_block(candidates: pa.Table, queries: pa.Table, k: int) -> Iterator[t
     asked, rows = queries["id"].to_numpy(), _matrix(queries["v"])
     terms = min(weights.shape[1], rows.shape[1])
     postings = [(np.flatnonzero(weights[:, t]), weights[:, t]) for t in range(terms)]
+    # Where a sum might pass 64 bits, Python's integers are added instead.
+    wide = _largest(weights) * _largest(rows) * terms >= 1 << 63
+    if wide:
+        rows, postings = rows.astype(object), [(places, column.astype(object)) for places, column in postings]
     step = max(1, TILE // max(1, len(ids)))
     for at in range(0, len(asked), step):
         tile = rows[at : at + step]
-        scores = np.zeros((len(tile), len(ids)), np.int64)
+        scores = np.zeros((len(tile), len(ids)), object if wide else np.int64)
         for t, (places, column) in enumerate(postings):
             active = np.flatnonzero(tile[:, t])
             if not len(active) or not len(places):
@@ -61,11 +77,15 @@ def best_of_block(candidates: pa.Table, queries: pa.Table, k: int) -> Iterator[t
         for query, found in zip(asked[at : at + step].tolist(), scores):
             others = ids != query
             own, mine = (ids, found) if others.all() else (ids[others], found[others])
+            if wide:
+                if not np.all((mine >= -(1 << 63)) & (mine < 1 << 63)):
+                    raise OverflowError("a score does not fit 64 bits")
+                mine = mine.astype(np.int64)
             if len(mine) > k:
                 least = np.partition(mine, len(mine) - k)[len(mine) - k]
                 some = np.flatnonzero(mine >= least)
                 own, mine = own[some], mine[some]
-            top = np.argsort(-mine, kind="stable")[:k]
+            top = np.argsort(~mine, kind="stable")[:k]
             yield query, own[top], mine[top]
 
 
@@ -77,7 +97,7 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, k:
     go to the smaller id. Rows that share the query's id are not its candidates; other
     repeated rows count each. Equal query rows ask once; query rows of one id with different
     vectors are ranked each for itself under that id. Rows without id, and vectors that are not ``usable``, take no
-    part. Scores are exact while they fit 64 bits. No queries, or no candidates: no rows.
+    part. Scores are exact; one that does not fit 64 bits, or such a component, is an error. No queries, or no candidates: no rows.
     """
     whole = vectors.select(F.col(f"`{vec_id}`").alias("id"), F.col(f"`{embedding}`").alias("e"), is_query.alias("asks"))
     rows = whole.where(F.col("id").isNotNull() & usable(F.col("e"))).select("id", "asks", quantised(F.col("e")).alias("v"))

@@ -204,6 +204,39 @@ def test_top_k_of_repeated_queries(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_no_name_of_a_column_clashes(spark):
+    rng = random.Random(3)
+    names = ["doc_id", "row", "text", "id", "digest", "fingerprint", "kept_id", "bad_id", "__id", "__digest", "__fingerprint", "__text", "__turn", "turn", "home", "window", "crc", "k"]
+    texts = [" ".join(rng.choices("the of and one two three four five six".split(), k=20)) for _ in range(12)]
+    rows = [tuple(i if n == "doc_id" else texts[i % 12] if n == "text" else f"{n}{i}" for n in names) for i in range(30)]
+    df = spark.createDataFrame(rows + [rows[3]] * 300, ", ".join(f"{n} {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    kept = simhash.keep_one(df, "doc_id", "text")
+    assert kept.columns == names and set(map(tuple, kept.collect())) <= set(rows)
+    same = simhash.near_duplicates(df, "doc_id", "text").select("component_id").distinct()
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in same.collect())
+    bench = spark.createDataFrame([(1, texts[5], "x")], "item_id bigint, text string, row string")
+    left = decontaminate.drop_contaminated(df, bench)
+    assert left.columns == names
+    assert sorted(map(tuple, left.collect())) == sorted(r for r in rows + [rows[3]] * 300 if r[2] != texts[5])
+    # Small buckets, so that the repeated row is dealt over several.
+    out = shards.shard(df, "doc_id", "text", bucket_bytes=2_000)
+    assert out.columns == [*names, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted(tuple(r)[: len(names)] for r in out.collect()) == sorted(rows + [rows[3]] * 300)
+
+
+def test_top_k_of_large_components(spark):
+    big = 2.0**54
+    rows = [(0, [big, 2.0**-8]), (1, [2.0**-8, 1.0]), (2, [-(2.0**-8), big]), (3, [2.0**-7 - 2.0**-8, -1.0]), (4, [0.0, 0.0])]
+    ask = lambda data: topk.top_k(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") == 0)
+    whole = [(i, [int(256 * x // 1) for x in v]) for i, v in rows]
+    scores = sorted((-sum(a * b for a, b in zip(whole[0][1], v)), i) for i, v in whole[1:])
+    assert sorted(map(tuple, ask(rows).collect())) == [(0, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    with pytest.raises(Exception, match="a score does not fit 64 bits"):
+        ask([*rows, (5, [4.0, 1.0])]).collect()
+    with pytest.raises(Exception, match="a scaled component does not fit 64 bits"):
+        ask([*rows, (5, [1e30, 1.0])]).collect()
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1.0]) for _ in range(rng.choice([3, 4]))]) for i in range(160)]
