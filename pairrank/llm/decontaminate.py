@@ -1,8 +1,11 @@
-"""Benchmark passages in training text, by a positional index and native functions only.
-
-Every window of an item (ten consecutive words) is looked up through its rarest word: the
-training text's postings of that word meet the windows it stands in, at the position the
-word has there; the window's second rarest word is compared next, then all of them.
+"""Benchmark passages in training text, by a stored positional inverted index and native functions only.
+
+Every text is split once. The places of the words that benchmark items hold are written as
+postings (code of the term, document, place), ordered by term within a range of documents: a
+frequent term has a list in every range, never one for all of them. A window of an item (ten
+consecutive words) begins at ``place - offset`` of each of its words, so its occurrences are
+what the lists of its words have in common after that shift. The list of the rarest word is
+taken first, that of the next rarest is intersected with it, then those of all other words.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 from pairrank.llm.common import words
 from pairrank.session import materialise
 
-#: Rows of a broadcast side (some 200 bytes each); beyond it the same join is shuffled.
-BROADCAST_ROWS = 200_000
+#: No word holds the character zero: as a first word it gives every text one posting, which holds its length.
+MARK, MARK_CODE = "\0", -1
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
@@ -24,97 +27,128 @@ def item_windows(items: DataFrame, item_id: str, text: str, width: int) -> DataF
     return split.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, width))).alias("window")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if its rows, counted, are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _same_term(a: str, b: str) -> Column:
     """Equality of two words by way of a hash: an integer key joins several times faster than a string."""
     return (F.xxhash64(a) == F.xxhash64(b)) & (F.col(a) == F.col(b))
 
 
-def anchored(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window, anchor, offset, second, step): each window with its rarest word, by postings counted over all documents.
+def vocabulary(windows: DataFrame) -> DataFrame:
+    """(known, code): the distinct words of ``windows`` with a number each, and the mark. A written table."""
+    terms = windows.select(F.explode("window").alias("known")).distinct().withColumn("code", F.monotonically_increasing_id())
+    mark = windows.sparkSession.range(1).select(F.lit(MARK).alias("known"), F.lit(MARK_CODE).cast("bigint").alias("code"))
+    return materialise(terms.unionByName(mark), "vocabulary")
+
 
-    ``second`` is its next rarest word and ``step`` that word's place relative to the
-    rarest. Windows with a word that no document has cannot occur and are left out.
+def store_postings(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(code, doc_id, digest, place), written: where the words of ``known`` stand in ``docs`` (doc_id, text).
+
+    The mark of a text has its number of words as ``place``. ``digest`` is a hash of the
+    text. The vocabulary is broadcast when its file is below Spark's threshold in bytes;
+    otherwise words are shuffled to it, and adaptive execution splits frequent ones.
     """
-    places = windows.select("window", F.posexplode("window").alias("at", "term"))
-    vocabulary = materialise(places.select(F.col("term").alias("known")).distinct(), "vocabulary")
-    postings = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    counts = postings.join(_small(vocabulary), _same_term("term", "known")).groupBy("term").agg(F.count("*").alias("n"))
-    rare = places.join(counts, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("by"))
-    first, second = F.col("by")[0], F.coalesce(F.get("by", F.lit(1)), F.col("by")[0])
-    return rare.where(F.size("by") == F.size("window")).select(
-        "window", first["term"].alias("anchor"), first["at"].alias("offset"), second["term"].alias("second"),
-        (second["at"] - first["at"]).alias("step"),
-    )
+    texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("words"))
+    terms = texts.select("doc_id", "digest", F.size("words").alias("n_words"), F.concat(F.array(F.lit(MARK)), "words").alias("words")).select(
+        "doc_id", "digest", "n_words", F.posexplode("words").alias("place", "term")
+    )
+    place = F.when(F.col("code") == MARK_CODE, F.col("n_words")).otherwise(F.col("place") - 1).alias("place")
+    postings = terms.join(known, _same_term("term", "known")).select("code", "doc_id", "digest", place)
+    return materialise(postings.sortWithinPartitions("code"), "postings")
 
 
-def matches(docs: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
-    """Occurrences of windows in ``docs`` (doc_id, text): (doc_id, digest, n_words, window, start, length).
+def by_rarity(numbered: DataFrame, known: DataFrame, postings: DataFrame) -> DataFrame:
+    """(id, length, terms): the (n, at, code) of each window's words, rarest first, by the lengths of their lists. Written.
 
-    Besides, there is one row without a window for every row of ``docs``. Without
-    ``slop`` the words stand in order and side by side. With it a match is one of
-    proximity: all distinct words of the window stand within its length and ``slop`` more
-    words around the rarest word, whose place ``start`` then is.
+    Windows with a word that no document has cannot occur and are left out.
     """
-    index = materialise(anchored(docs, windows), "anchors")
-    size = index.agg(F.count("*").alias("n"), F.max(F.size("window")).alias("widest")).first()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("words"))
-    if size["n"] <= BROADCAST_ROWS:
-        # No word holds the character zero: as first word and as an anchor it brings every text through the join once.
-        mark = F.lit("\0")
-        every = index.limit(0).unionByName(
-            docs.sparkSession.range(1).select(
-                F.lit(None).cast("array<string>").alias("window"), mark.alias("anchor"), F.lit(0).alias("offset"), mark.alias("second"), F.lit(0).alias("step")
-            )
-        )
-        index = F.broadcast(materialise(index.unionByName(every), "index"))
-        postings = texts.select("doc_id", "digest", "words", F.posexplode(F.concat(F.array(mark), "words")).alias("place", "term"))
-        found = F.col("window").isNull() | _stands(F.col("words"), F.col("place") - 1, slop)
-        return _found(postings.withColumn("n_words", F.size("words")).join(index, _same_term("term", "anchor") & found), F.col("place") - 1, slop)
-    # A posting that is shuffled takes the words around its place along, not the whole text.
-    reach = (size["widest"] or 1) + (slop or 0)
-    postings = texts.select("doc_id", "digest", "words", F.size("words").alias("n_words"), F.posexplode("words").alias("place", "term")).select(
-        "doc_id", "digest", "n_words", "place", "term",
-        F.slice("words", F.greatest(F.col("place") - reach + 1, F.lit(0)) + 1, 2 * reach - 1).alias("around"),
-    )
-    found = _stands(F.col("around"), F.least(F.col("place"), F.lit(reach - 1)), slop)
-    hits = _found(postings.join(index, _same_term("term", "anchor") & found), F.col("place"), slop)
-    none = {"window": "array<string>", "start": "int", "length": "int"}
-    return hits.unionByName(
-        texts.select("doc_id", "digest", F.size("words").cast("bigint").alias("n_words"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    counts = materialise(postings.where(F.col("code") != MARK_CODE).groupBy("code").agg(F.count("*").alias("n")), "counts")
+    rated = materialise(known.join(counts, "code"), "rated")
+    places = numbered.select("id", F.size("window").alias("length"), F.posexplode("window").alias("at", "term"))
+    terms = places.join(rated, _same_term("term", "known")).groupBy("id", "length").agg(F.sort_array(F.collect_list(F.struct("n", "at", "code"))).alias("terms"))
+    return materialise(terms.where(F.size("terms") == F.col("length")), "terms")
+
+
+def _lists(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lists of the codes that occur in ``wanted``, under names of their own."""
+    codes = wanted.select("code").distinct()
+    return postings.join(codes, "code", "left_semi").select(*[F.col(c).alias(f"list_{c}") for c in ("doc_id", "digest", "code", "place")])
+
+
+def _meets(wanted: DataFrame, lists: DataFrame) -> Column:
+    """Same document and term."""
+    return (
+        wanted["doc_id"].eqNullSafe(lists["list_doc_id"])
+        & (wanted["digest"] == lists["list_digest"])
+        & (wanted["code"] == lists["list_code"])
     )
 
 
-def _stands(words_: Column, at: Column, slop: int | None) -> Column:
-    """Whether the window stands in ``words_`` with its rarest word at place ``at``, or near it."""
-    length = F.size("window")
-    if slop is None:
-        # Places outside the text give null or a shorter slice and so no match.
-        begin = at - F.col("offset")
-        near = F.get(words_, at + F.col("step")) == F.col("second")
-        return near & (begin >= 0) & (F.slice(words_, F.greatest(begin, F.lit(0)) + 1, length) == F.col("window"))
-    reach, first = length + slop, F.greatest(at - length - slop + 1, F.lit(0))
-    around = F.slice(words_, first + 1, F.greatest(at + reach - first, F.lit(0)))
-    return F.exists(
-        F.sequence(F.lit(1), F.greatest(F.size(around) - reach + 1, F.lit(1))),
-        lambda i: F.size(F.array_except(F.col("window"), F.slice(around, i, reach))) == 0,
+def phrases(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, digest, id, start, length): where whole windows stand, in order and side by side."""
+    term = lambda k: F.get("terms", F.lit(k))
+    lead = terms.select("id", "length", term(0)["code"].alias("code"), term(0)["at"].alias("offset"), term(1)["code"].alias("next"), term(1)["at"].alias("next_at"))
+    key = ["doc_id", "digest", "id", "start"]
+    first = postings.join(lead, "code").withColumn("start", F.col("place") - F.col("offset")).where(F.col("start") >= 0)
+    first = materialise(first.select(*key, "length", F.col("next").alias("code"), "next_at").distinct(), "first-lists")
+    # Repeated rows have equal postings; distinct keeps one of each meeting.
+    wanted = first.where("length > 1").withColumn("place", F.col("start") + F.col("next_at"))
+    lists = _lists(postings, lead.select(F.col("next").alias("code")).where("code is not null"))
+    second = materialise(wanted.join(lists, _meets(wanted, lists) & (wanted["place"] == lists["list_place"])).select(*key, "length").distinct(), "second-lists")
+    others = terms.where("length > 2").select("id", F.explode(F.slice("terms", 3, F.greatest(F.size("terms") - 2, F.lit(1)))).alias("term"))
+    others = others.select("id", F.col("term.code").alias("code"), F.col("term.at").alias("at"))
+    wanted = materialise(second.where("length > 2").join(others, "id").withColumn("place", F.col("start") + F.col("at")), "other-places")
+    lists = _lists(postings, wanted)
+    rest = wanted.join(lists, _meets(wanted, lists) & (wanted["place"] == lists["list_place"])).groupBy(*key, "length")
+    rest = rest.agg(F.size(F.collect_set("at")).alias("met")).where(F.col("met") == F.col("length") - 2)
+    columns = [*key, "length"]
+    return first.where("length = 1").select(columns).unionByName(second.where("length = 2").select(columns)).unionByName(rest.select(columns))
+
+
+def near(postings: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, digest, id, start, length): places of a window's rarest word with its other words in reach.
+
+    All distinct words stand within the window's length and ``slop`` more words, around ``start``.
+    Lists meet by stretches of that length, so a word that fills a text is compared in three of them only.
+    """
+    reach, key = F.col("length") + slop, ["doc_id", "digest", "id", "start", "length"]
+    rarest = terms.select("id", "length", F.get("terms", F.lit(0))["code"].alias("code"))
+    first = materialise(postings.join(rarest, "code").select("doc_id", "digest", "id", "length", F.col("place").alias("start"), "code").distinct(), "first-lists")
+    codes = terms.select("id", F.explode(F.array_distinct(F.transform("terms", lambda t: t["code"]))).alias("code"))
+    stretch = F.floor(F.col("start") / reach)
+    wanted = first.drop("code").join(codes, "id").withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
+    wanted = materialise(wanted.withColumn("reach", reach), "near-places")
+    widths = wanted.select("code", "reach").distinct()
+    lists = postings.join(widths, "code").select(
+        *[F.col(c).alias(f"list_{c}") for c in ("doc_id", "digest", "code", "place", "reach")], F.floor(F.col("place") / F.col("reach")).alias("list_stretch")
     )
+    same = _meets(wanted, lists) & (wanted["reach"] == lists["list_reach"]) & (wanted["stretch"] == lists["list_stretch"])
+    close = F.abs(F.col("list_place") - F.col("start")) < F.col("reach")
+    met = wanted.join(lists, same & close).groupBy(*key, "reach").agg(F.collect_set(F.struct(F.col("list_place").alias("place"), "code")).alias("hits"))
+    sizes = terms.select("id", F.size(F.array_distinct(F.transform("terms", lambda t: t["code"]))).alias("distinct"))
+
+    def whole(begin: Column) -> Column:
+        inside = F.filter("hits", lambda h: (h["place"] >= begin) & (h["place"] < begin + F.col("reach")))
+        return F.size(F.array_distinct(F.transform(inside, lambda h: h["code"]))) == F.col("distinct")
 
+    return met.join(sizes, "id").where(F.exists(F.sequence(F.col("start") - F.col("reach") + 1, F.col("start")), whole)).select(key)
 
-def _found(joined: DataFrame, at: Column, slop: int | None) -> DataFrame:
-    begin = at if slop is not None else at - F.col("offset")
-    within = F.col("window").isNotNull()
-    return joined.select(
-        "doc_id",
-        "digest",
-        F.col("n_words").cast("bigint").alias("n_words"),
-        "window",
-        F.when(within, begin).alias("start"),
-        F.when(within, F.size("window")).alias("length"),
+
+def matches(docs: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
+    """Occurrences of windows in ``docs`` (doc_id, text): (doc_id, digest, n_words, window, start, length).
+
+    Besides, there is one row without a window for every row of ``docs``; only these have
+    ``n_words``. Without ``slop`` the words stand in order and side by side. With it a match
+    is one of proximity (``near``), and ``start`` is the place of the rarest word.
+    """
+    numbered = materialise(windows.select("window").distinct().withColumn("id", F.monotonically_increasing_id()), "numbered")
+    known = vocabulary(numbered)
+    postings = store_postings(docs, known)
+    terms = by_rarity(numbered, known, postings)
+    found = phrases(postings, terms) if slop is None else near(postings, terms, slop)
+    found = found.join(numbered, "id").select("doc_id", "digest", F.lit(None).cast("bigint").alias("n_words"), "window", "start", "length")
+    every = postings.where(F.col("code") == MARK_CODE)
+    none = {"window": "array<string>", "start": "int", "length": "int"}
+    return found.unionByName(
+        every.select("doc_id", "digest", F.col("place").cast("bigint").alias("n_words"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     )
 
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 import xxhash
@@ -114,9 +115,17 @@ def contaminated(docs, items, width=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("seed", "broadcast"), [(1, 200_000), (2, 200_000), (2, -1)])
-def test_decontamination(spark, monkeypatch, seed, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+@pytest.fixture
+def no_broadcast(spark, request):
+    """Whether sides are broadcast is Spark's choice by bytes; -1 makes it shuffle all of them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if request.param else before)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(("seed", "no_broadcast"), [(1, False), (2, False), (2, True)], indirect=["no_broadcast"])
+def test_decontamination(spark, seed, no_broadcast):
     rng = random.Random(seed)
     pool = ["the", "of", "Alpha", "beta", "Çedilla", "delta9", "x", "y"]
     items = [(i, " ".join(rng.choices(pool, k=rng.choice([0, 1, 3, 12, 14])))) for i in range(12)] + [(3, "the of"), (50, None), (51, "...")]
@@ -139,15 +148,46 @@ def test_decontamination(spark, monkeypatch, seed, broadcast):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [200_000, -1])
-def test_proximity(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("no_broadcast", [False, True], indirect=True)
+def test_proximity(spark, no_broadcast):
     docs = spark.createDataFrame([(1, "c b x a"), (2, "a x x x x b c"), (3, "a b")], "doc_id int, text string")
     windows = spark.createDataFrame([(["a", "b", "c"],)], "window array<string>")
     near = decontaminate.matches(docs, windows, slop=1).where("window is not null")
     assert {r["doc_id"] for r in near.collect()} == {1}
 
 
+@pytest.mark.parametrize("slop", [0, 2])
+def test_proximity_against_every_interval(spark, slop):
+    rng = random.Random(slop)
+    windows = [["a", "b", "c"], ["a", "a", "d"], ["e"], ["d", "e"], ["a", "q"], ["z", "a", "f", "b"]]
+    docs = [(i, rng.choices("aaabbcdef", k=rng.randint(0, 40))) for i in range(40)] + [(None, ["a", "d"]), (3, ["e"]), (3, ["e"])]
+    counts = Counter(w for _, text in docs for w in text)
+    want = set()
+    for d, text in docs:
+        for window in windows:
+            if not all(counts[w] for w in window):
+                continue
+            rarest = min((counts[w], at, w) for at, w in enumerate(window))[2]
+            reach = len(window) + slop
+            for place, word in enumerate(text):
+                spans = (text[max(0, b) : b + reach] for b in range(place - reach + 1, place + 1))
+                if word == rarest and any(set(window) <= set(s) for s in spans):
+                    want.add((d, " ".join(text), " ".join(window), place))
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id int, text string")
+    digests = {r["digest"]: r["text"] for r in frame.selectExpr("text", "xxhash64(text) digest").collect()}
+    got = decontaminate.matches(frame, spark.createDataFrame([(w,) for w in windows], "window array<string>"), slop=slop).where("window is not null").collect()
+    assert len(got) == len(want)
+    assert {(r["doc_id"], digests[r["digest"]], " ".join(r["window"]), r["start"]) for r in got} == want
+
+
+def test_postings_are_stored(spark):
+    docs = spark.createDataFrame([(1, "a b, A x"), (2, None), (None, "b")], "doc_id int, text string")
+    known = decontaminate.vocabulary(spark.createDataFrame([(["a", "b"],)], "window array<string>"))
+    codes = {r["known"]: r["code"] for r in known.collect()}
+    got = {(r["code"], r["doc_id"], r["place"]) for r in decontaminate.store_postings(docs, known).collect()}
+    assert got == {(-1, 1, 4), (-1, 2, 0), (-1, None, 1), (codes["a"], 1, 0), (codes["a"], 1, 2), (codes["b"], 1, 1), (codes["b"], None, 0)}
+
+
 def test_decontamination_stays_native(spark, capsys):
     decontaminate.contamination(spark.createDataFrame([(1, "a b")], "doc_id int, text string"), spark.createDataFrame([(1, "a")], "item_id int, text string")).explain()
     assert "Python" not in capsys.readouterr().out
