@@ -67,10 +67,12 @@ def by_rarity(numbered: DataFrame, known: DataFrame, postings: DataFrame) -> Dat
     return materialise(terms.where(F.size("terms") == F.col("length")), "terms")
 
 
-def _lists(postings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lists of the codes that occur in ``wanted``, under names of their own."""
-    codes = wanted.select("code").distinct()
-    return postings.join(codes, "code", "left_semi").select(*[F.col(c).alias(f"list_{c}") for c in ("doc_id", "digest", "code", "place")])
+def _lists(postings: DataFrame, codes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The lists of ``codes`` over all documents, or those whose digests are in ``texts``, under names of their own."""
+    lists = postings.join(materialise(codes.select("code").distinct(), "codes"), "code", "left_semi")
+    if texts is not None:
+        lists = lists.join(materialise(texts.select("digest").distinct(), "digests"), "digest", "left_semi")
+    return lists.select(*[F.col(c).alias(f"list_{c}") for c in ("doc_id", "digest", "code", "place")])
 
 
 def _meets(wanted: DataFrame, lists: DataFrame) -> Column:
@@ -86,18 +88,21 @@ def phrases(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, digest, id, start, length): where whole windows stand, in order and side by side."""
     term = lambda k: F.get("terms", F.lit(k))
     lead = terms.select("id", "length", term(0)["code"].alias("code"), term(0)["at"].alias("offset"), term(1)["code"].alias("next"), term(1)["at"].alias("next_at"))
+    # A narrow table of its own: Spark judges by the bytes of its file whether to send it to the lists.
+    lead = materialise(lead, "lead")
     key = ["doc_id", "digest", "id", "start"]
     first = postings.join(lead, "code").withColumn("start", F.col("place") - F.col("offset")).where(F.col("start") >= 0)
     first = materialise(first.select(*key, "length", F.col("next").alias("code"), "next_at").distinct(), "first-lists")
-    # Repeated rows have equal postings; distinct keeps one of each meeting.
+    # Repeated rows have equal postings; distinct keeps one of each meeting. What was found so far
+    # grows with the documents, so it is merged with the lists at every size and never broadcast.
     wanted = first.where("length > 1").withColumn("place", F.col("start") + F.col("next_at"))
     lists = _lists(postings, lead.select(F.col("next").alias("code")).where("code is not null"))
-    second = materialise(wanted.join(lists, _meets(wanted, lists) & (wanted["place"] == lists["list_place"])).select(*key, "length").distinct(), "second-lists")
+    second = materialise(wanted.hint("merge").join(lists, _meets(wanted, lists) & (wanted["place"] == lists["list_place"])).select(*key, "length").distinct(), "second-lists")
     others = terms.where("length > 2").select("id", F.explode(F.slice("terms", 3, F.greatest(F.size("terms") - 2, F.lit(1)))).alias("term"))
     others = others.select("id", F.col("term.code").alias("code"), F.col("term.at").alias("at"))
     wanted = materialise(second.where("length > 2").join(others, "id").withColumn("place", F.col("start") + F.col("at")), "other-places")
-    lists = _lists(postings, wanted)
-    rest = wanted.join(lists, _meets(wanted, lists) & (wanted["place"] == lists["list_place"])).groupBy(*key, "length")
+    lists = _lists(postings, others, second)
+    rest = wanted.hint("merge").join(lists, _meets(wanted, lists) & (wanted["place"] == lists["list_place"])).groupBy(*key, "length")
     rest = rest.agg(F.size(F.collect_set("at")).alias("met")).where(F.col("met") == F.col("length") - 2)
     columns = [*key, "length"]
     return first.where("length = 1").select(columns).unionByName(second.where("length = 2").select(columns)).unionByName(rest.select(columns))
@@ -122,7 +127,7 @@ def near(postings: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
     )
     same = _meets(wanted, lists) & (wanted["reach"] == lists["list_reach"]) & (wanted["stretch"] == lists["list_stretch"])
     close = F.abs(F.col("list_place") - F.col("start")) < F.col("reach")
-    met = wanted.join(lists, same & close).groupBy(*key, "reach").agg(F.collect_set(F.struct(F.col("list_place").alias("place"), "code")).alias("hits"))
+    met = wanted.hint("merge").join(lists, same & close).groupBy(*key, "reach").agg(F.collect_set(F.struct(F.col("list_place").alias("place"), "code")).alias("hits"))
     sizes = terms.select("id", F.size(F.array_distinct(F.transform("terms", lambda t: t["code"]))).alias("distinct"))
 
     def whole(begin: Column) -> Column:
