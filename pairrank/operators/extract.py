@@ -152,10 +152,20 @@ def parse_profiles(docs: DataFrame, item: str, text: str = "text", vocabulary: V
     return profile.withColumn("parse_warnings", warnings).drop("certification_warnings", "employment_warning")
 
 
+def warnings_of(profiles: DataFrame, column: str = "parse_warnings") -> DataFrame:
+    """(warning): one row for each.
+
+    A plain ``explode`` brings a filter on the array with it, which the optimiser pushes to the
+    documents: every stage of the parser would be written out, again and again, inside that filter.
+    The outer form brings none; the row it makes of an empty array is dropped behind it.
+    """
+    return profiles.select(F.explode_outer(column).alias("warning")).where(F.col("warning").isNotNull())
+
+
 def warning_counts(profiles: DataFrame, column: str = "parse_warnings") -> DataFrame:
     field_name = F.substring_index(F.col("warning"), ":", 1)
     return (
-        profiles.select(F.explode(column).alias("warning"))
+        warnings_of(profiles, column)
         .groupBy(field_name.alias("field"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

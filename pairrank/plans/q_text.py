@@ -320,7 +320,7 @@ _FRIENDLY = " ".join(f"WHEN starts_with(warning, '{p}') THEN '{label}'" for p, l
     SELECT CASE {_FRIENDLY} ELSE warning END AS message, count(*) AS n FROM w GROUP BY 1""",
 )
 def friendly_warning(spark, sf_dir):
-    warnings = parsed(spark, sf_dir).select(F.explode("parse_warnings").alias("warning"))
+    warnings = xt.warnings_of(parsed(spark, sf_dir))
     other = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(": other")).alias("warning"))
     told = warnings.union(other).select(xt.friendly_warning(F.col("warning")).alias("message"))
     return told.groupBy("message").agg(F.count(F.lit(1)).alias("n"))

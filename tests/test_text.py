@@ -196,3 +196,12 @@ def test_profile_of_a_null_text(spark):
     row = xt.parse_profiles(spark.createDataFrame([(1, None)], "id int, text string"), "id").first()
     assert row["certifications"] == row["shift_availability"] == row["site_experience"] == []
     assert "employment: no employment section found" in row["parse_warnings"]
+
+
+def test_the_parser_runs_once_where_warnings_are_counted(spark):
+    docs = spark.createDataFrame([(1, "PROFILE\n3 years of experience"), (2, None), (3, "AVAILABILITY\nweekends")], "id INT, text STRING")
+    counts = xt.warning_counts(xt.parse_profiles(docs, "id"))
+    assert {r["field"]: r["n"] for r in counts.collect()} == {"years_experience": 2, "employment": 3, "shift_availability": 2, "driving_licence": 3}
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count(V.PERIOD) == 1
+    none = spark.createDataFrame([([],), (None,), (["a: b"],)], "parse_warnings ARRAY<STRING>")
+    assert [tuple(r) for r in xt.warning_counts(none).collect()] == [("a", 1)]
