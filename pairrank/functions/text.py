@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -16,13 +17,17 @@ SPELLING = (
     ("organisation", "organization"),
 )
 # A letter-dot pair that starts, or directly continues, a run of two or more.
-ACRONYM_DOT = r"(?:\G(?!^)|(?<![\p{L}\p{N}_])(?=(?:[a-z]\.){2}))([a-z])\."
+# What can't begin with a letter and a dot is passed over first.
+ACRONYM_DOT = r"(?=[a-z]\.)(?:\G(?!^)|(?<![\p{L}\p{N}_])(?=(?:[a-z]\.){2}))([a-z])\."
 NON_ALNUM = r"[^a-z0-9]+"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same white space as classes: what ends a line, and what doesn't.
+_BREAKS = r"\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}"
+_BLANKS = r"\t\x1F \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 HEADING = r"^[A-Z][A-Z &]{2,}$"
 BULLET = r"^[-•*]\s*(.+)$"
 FUZZY_THRESHOLD = 88.0
@@ -53,6 +58,36 @@ def is_heading(line: Column) -> Column:
     return line.rlike(HEADING)
 
 
+def body_of(stripped: Column) -> Column:
+    """The lines of :func:`lines_of` as one string, a line feed before each, from text without white space at its ends.
+
+    No line holds a line feed, so a pattern that never takes one finds in the whole what it finds line by line, at
+    the price of one compiled call where a function over an array is interpreted for every line.
+    """
+    gap = f"(?![!-~])(?<![{_BLANKS}])[{_BLANKS}]*+[{_BREAKS}][{_BREAKS}{_BLANKS}]*+"
+    return F.when(stripped != "", F.concat(F.lit("\n"), F.regexp_replace(stripped, gap, "\n"))).otherwise("")
+
+
+def by_line(pattern: str) -> str:
+    """A pattern written for one line, for :func:`body_of`: its white space is never the end of a line."""
+    return pattern.replace(r"\s", r"[\s&&[^\n]]").replace("(.+)$", r"([^\n]+)")
+
+
+def bullets_in(body: Column) -> Column:
+    """:func:`bullets_of` of the lines of a body."""
+    return F.regexp_extract_all(body, F.lit(rf"\n[-•*][{_BLANKS}]*([^\n]+)"), F.lit(1))
+
+
+def section_blocks(body: Column, headings: Sequence[str]) -> Column:
+    """The lines under each of these headings as a body, in the order of the text; a heading that comes again comes apart."""
+    heading = HEADING.strip("^$")
+    known = "|".join(r"\Q" + h + r"\E" for h in headings if re.fullmatch(heading, h)) or "(?!)"
+    opening = rf"\A(?=\n)(?!\n{heading}(?:\n|\z))|" if "" in headings else ""
+    # Possessive, so that the lines of a section are passed over in a loop, however many they are.
+    pattern = rf"(?:{opening}\n(?:{known})(?=\n|\z))((?:\n(?!{heading}(?:\n|\z))[^\n]++)*+)"
+    return F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
+
+
 def bullets_of(lines: Column) -> Column:
     marked = F.filter(lines, lambda line: line.rlike(BULLET))
     return F.transform(marked, lambda line: strip(F.regexp_extract(line, BULLET, 1)))
@@ -104,7 +139,6 @@ def canonical_keys(vocabulary: Mapping[str, Sequence[str]]) -> dict[str, str]:
     Plain-Python twin of :func:`canonical_text` for the few ASCII phrases of the
     vocabulary; a test holds the two together.
     """
-    import re
 
     def canon(phrase: str) -> str:
         text = phrase.lower()
@@ -128,13 +162,31 @@ def tag_phrases(canonical: Column, vocabulary: Mapping[str, Sequence[str]]) -> C
         for phrase in phrases[1:]:
             present = present | F.contains(padded, F.lit(f" {phrase} "))
         flags.append(F.when(present, F.lit(code)))
-    return F.array_compact(F.array(*flags))
+    # The codes differ, so this drops the nulls alone; ``array_compact`` would have the flags interpreted.
+    return F.array_except(F.array(*flags), F.array(F.lit(None).cast("string")))
 
 
 def _alternation(phrases: Sequence[str]) -> str:
-    ordered = sorted(set(phrases), key=lambda p: (-len(p), p))
-    body = "|".join(r"\Q" + p + r"\E" for p in ordered)
-    return rf"(?<![\p{{L}}\p{{N}}_])({body})(?![\p{{L}}\p{{N}}_])"
+    firsts = "".join(sorted({_escaped(p[0]) for p in phrases if p}))
+    # A look at the first character spares most places the look behind.
+    ahead = f"(?=[{firsts}])" if phrases and all(phrases) else ""
+    return rf"{ahead}(?<![\p{{L}}\p{{N}}_])({_tree(sorted(set(phrases)))})(?![\p{{L}}\p{{N}}_])"
+
+
+def _escaped(character: str) -> str:
+    return "\\" + character if character.isascii() and not character.isalnum() else character
+
+
+def _tree(phrases: Sequence[str]) -> str:
+    """An alternation in which phrases share their beginnings. Of two that match in one place, the longer is tried first."""
+    rests: dict[str, list[str]] = {}
+    for phrase in phrases:
+        if phrase:
+            rests.setdefault(phrase[0], []).append(phrase[1:])
+    branches = [_escaped(first) + _tree(rest) for first, rest in rests.items()]
+    if "" in phrases:
+        return f"(?:{'|'.join(branches)})?" if branches else ""
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
 def entity_spans(text: Column, vocabulary: Mapping[str, Sequence[str]]) -> Column:
@@ -168,7 +220,8 @@ def match_contained(canonical: Column, vocabulary: Mapping[str, Sequence[str]])
     # the earliest) is tested first.
     for key in sorted(keys, key=lambda k: (len(k), -order[k])):
         result = F.when(F.contains(canonical, F.lit(key)), F.lit(keys[key])).otherwise(result)
-    return result
+    # One pattern for all keys spares the texts that hold none the walk through them.
+    return F.when(canonical.rlike(_tree(sorted(keys))), result)
 
 
 # Canonical text is made of a blank, digits and lower-case letters: codes 32 to 122.
@@ -230,30 +283,27 @@ def match_fuzzy(
     """Code of the most similar key at or above ``threshold``, else null.
 
     LCS is at most the shorter length, so a key whose length is too far from the
-    text's cannot reach the threshold; those are skipped without computing it.
+    text's cannot reach the threshold; which those are is listed for every length.
     """
     keys = canonical_keys(vocabulary)
+    longest = int(max(len(key) for key in keys) * (200.0 - threshold) / threshold)
+    near = [
+        [i for i, key in enumerate(keys) if 200.0 * min(n, len(key)) / (n + len(key)) >= threshold]
+        for n in range(longest + 1)
+    ]
+    listed = "array(" + ", ".join(f"cast(array({', '.join(map(str, places))}) as array<int>)" for places in near) + ")"
 
     def best(codes: Column) -> Column:
-        n = F.size(codes)
         scored = F.transform(
-            _mask_table(keys),
+            F.transform(F.get(F.expr(listed), F.size(codes)), lambda i: F.get(_mask_table(keys), i)),
             lambda key: F.struct(
-                F.when(
-                    F.lit(200.0) * F.least(n, key["n"]) / (n + key["n"]) >= threshold, lcs_similarity(codes, key)
-                )
-                .otherwise(0.0)
-                .alias("similarity"),
-                key["order"].alias("order"),
-                key["code"].alias("code"),
+                lcs_similarity(codes, key).alias("similarity"), key["order"].alias("order"), key["code"].alias("code")
             ),
         )
         kept = F.filter(F.array(F.array_max(scored)), lambda w: w["similarity"] >= threshold)
         return F.get(F.transform(kept, lambda w: w["code"]), F.lit(0))
 
-    longest = max(len(key) for key in keys)
-    reachable = F.length(canonical).between(1, int(longest * (200.0 - threshold) / threshold))
-    return F.when(reachable, _let(char_codes(canonical), best))
+    return F.when(F.length(canonical).between(1, longest), _let(char_codes(canonical), best))
 
 
 def match_cascade(canonical: Column, vocabulary: Mapping[str, Sequence[str]]) -> Column:

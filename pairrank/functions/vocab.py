@@ -118,13 +118,13 @@ EXPERIENCE_SECTIONS = ("EXPERIENCE", "WORK HISTORY", "EMPLOYMENT", "CAREER HISTO
 REFERENCE_YEAR = 2026
 MAX_TEXT_LENGTH = 20_000
 
-# Patterns.
+# Patterns. A look at the first letter comes before what costs more.
 YEARS_DIGITS = r"(?iU)(\d{1,2}(?:\.\d)?)\s*\+?\s*years?['’]?\s*(?:of\s+)?(?:security\s+)?(?:experience|in\s+the\s+security|in\s+security)"
 YEARS_WORDS = (
-    r"(?iU)\b(" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")\s+years?\s+(?:of\s+)?(?:security\s+)?experience"
+    r"(?iU)(?=[" + "".join(sorted({w[0] for w in NUMBER_WORDS})) + r"])\b(" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")\s+years?\s+(?:of\s+)?(?:security\s+)?experience"
 )
-PERIOD = r"(?iU)\((\d{4})\s*[-–]\s*(present|\d{4})\)"
+PERIOD = r"(?iU)\((\d{4})[\s&&[^\n]]*[-–][\s&&[^\n]]*(present|\d{4})\)"  # within a line
 NO_ROLES = r"(?iU)no\s+previous\s+security\s+roles"
 SITE_TAIL = r"\)\s*[-–]\s*(.+)$"
-NO_DRIVING = r"(?iU)(?:no\s+driving\s+licence|does\s+not\s+drive|driving\s+licence\s*:\s*none)"
-HAS_DRIVING = r"(?iU)(?:full[\w\s]*driving\s+licence|driving\s+licence\s*:\s*full|holds\s+a\s+full)"
+NO_DRIVING = r"(?iU)(?=[nd])(?:no\s+driving\s+licence|does\s+not\s+drive|driving\s+licence\s*:\s*none)"
+HAS_DRIVING = r"(?iU)(?=[fdh])(?:full[\w\s]*driving\s+licence|driving\s+licence\s*:\s*full|holds\s+a\s+full)"

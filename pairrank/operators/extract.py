@@ -1,8 +1,9 @@
 """Structured profiles from a corpus of section-structured documents.
 
 Everything is a column expression over the row's own text: one scan, no shuffle,
-no Python. Each stage is its own projection so that a derived column (lines,
-sections, spans) is computed once and read many times.
+no Python. Each stage is its own projection so that a derived column (body, work,
+spans) is computed once and read many times. Lines stay in one string, where compiled
+patterns find them; arrays of lines would be walked by interpreted functions.
 """
 
 from __future__ import annotations
@@ -57,16 +58,25 @@ def experience_lines(sections: Column, headings: Sequence[str]) -> Column:
     )
 
 
-def periods_of(lines: Column) -> Column:
-    """End of every dated role: a year as text, or ``present``."""
-    return F.flatten(
-        F.transform(lines, lambda line: F.regexp_extract_all(F.lower(line), F.lit(V.PERIOD), F.lit(2)))
+def experience_text(text: Column, blocks: Column, headings: Sequence[str]) -> Column:
+    """``experience_lines`` as a body (see ``text.body_of``).
+
+    Up to two blocks stand in the order of the text, whatever their headings. Of more, one may go on with
+    a section that began earlier, so they are put together by section.
+    """
+    merged = experience_lines(tx.sections_of(tx.lines_of(text)), headings)
+    return F.when(F.size(blocks) <= 2, F.array_join(blocks, "")).otherwise(
+        F.array_join(F.transform(merged, lambda line: F.concat(F.lit("\n"), line)), "")
     )
 
 
-def site_fragments(lines: Column) -> Column:
-    tails = F.transform(lines, lambda line: F.regexp_extract(line, V.SITE_TAIL, 1))
-    return F.array_join(F.filter(tails, lambda t: t != ""), "\n")
+def periods_of(work: Column) -> Column:
+    """End of every dated role: a year as text, or ``present``."""
+    return F.regexp_extract_all(F.lower(work), F.lit(V.PERIOD), F.lit(2))
+
+
+def site_fragments(work: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(work, F.lit(tx.by_line(V.SITE_TAIL)), F.lit(1)), "\n")
 
 
 def parse_profiles(docs: DataFrame, item: str, text: str = "text", vocabulary: Vocabulary | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -77,19 +87,19 @@ def parse_profiles(docs: DataFrame, item: str, text: str = "text", vocabulary: V
     v = vocabulary or Vocabulary()
     staged = (
         docs.select(item, *keep, tx.strip(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-        .withColumn("lines", tx.lines_of(F.col("text")))
-        .withColumn("sections", tx.sections_of(F.col("lines")))
+        .withColumn("body", tx.body_of(F.col("text")))
+        .withColumn("blocks", tx.section_blocks(F.col("body"), v.experience_sections))
         .withColumn("spans", tx.entity_spans(F.col("text"), v.certifications))
         .withColumn("canonical", tx.canonical_text(F.col("text")))
-        .withColumn("work", experience_lines(F.col("sections"), v.experience_sections))
+        .withColumn("work", experience_text(F.col("text"), F.col("blocks"), v.experience_sections))
         .withColumn("ends", periods_of(F.col("work")))
         .withColumn("site_text", tx.canonical_text(site_fragments(F.col("work"))))
     )
     # Bullets that hold no dictionary match go through the cascade; the lookup is
     # skipped altogether for documents that have none.
     loose = F.filter(
-        tx.bullets_of(F.col("lines")),
-        lambda b: ~F.exists(F.col("spans"), lambda s: F.contains(F.lower(b), s)),
+        tx.bullets_in(F.col("body")),
+        lambda b: ~tx._let(F.lower(b), lambda low: F.exists(F.col("spans"), lambda s: F.contains(low, s))),
     )
     staged = staged.withColumn("loose", loose).withColumn(
         "matched",
@@ -103,8 +113,8 @@ def parse_profiles(docs: DataFrame, item: str, text: str = "text", vocabulary: V
             ),
         ),
     )
-    no_roles = F.exists("work", lambda line: line.rlike(V.NO_ROLES))
-    has_work, has_ends = F.size("work") > 0, F.size("ends") > 0
+    no_roles = F.col("work").rlike(tx.by_line(V.NO_ROLES))
+    has_work, has_ends = F.col("work") != "", F.size("ends") > 0
     latest = F.array_max(F.transform("ends", lambda e: e.try_cast("int")))
     profile = staged.select(
         item,

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,44 @@ def test_the_parser_runs_once_where_warnings_are_counted(spark):
     assert counts._jdf.queryExecution().optimizedPlan().toString().count(V.PERIOD) == 1
     none = spark.createDataFrame([([],), (None,), (["a: b"],)], "parse_warnings ARRAY<STRING>")
     assert [tuple(r) for r in xt.warning_counts(none).collect()] == [("a", 1)]
+
+
+ODD_TEXTS = [
+    "", "x", "EXPERIENCE", "EXPERIENCE\n\n  \t\nA (2001 - 2003) - stadium\r\n- SIA badge \u2003\n-\n- \u00a0 frist aid",
+    "a\u2028EXPERIENCE\u0085one (1999 – present) – shop \x1c\x1f two\nSKILLS\nthree\x0bEMPLOYMENT\ffour) - x) - y\nEXPERIENCE\nfive (\n2001 - 2002)",
+    "EMPLOYMENT\nb\nEXPERIENCE\na) -\nEMPLOYMENT\nno previous\nsecurity roles\n• C.C.T.V. operator\n*\u2028* x",
+    "EXPERIENCE\nEXPERIENCE\n \u3000EXPERIENCE \nlast  line\t\n", "WORK HISTORY &\nx\nWORK HISTORY\ny\n" + "z (2001 - 2002)\n" * 5000,
+]
+
+
+def test_bodies_give_what_lines_give(spark):
+    """Patterns over the whole text find what functions over the array of its lines find."""
+    headings = ["EXPERIENCE", "WORK HISTORY", "EMPLOYMENT", "", "Not one"]
+    texts = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id INT, raw STRING").select("id", tx.strip(F.col("raw")).alias("text"))
+    rows = texts.select("text", tx.lines_of(F.col("text")).alias("lines"), tx.body_of(F.col("text")).alias("body"))
+    for wanted in (headings, headings[:3], headings[3:]):
+        work = xt.experience_lines(tx.sections_of(F.col("lines")), wanted)
+        told = rows.select(
+            "lines", "body", tx.bullets_of(F.col("lines")).alias("bullets"), tx.bullets_in(F.col("body")).alias("bullets_in"), work.alias("work"),
+            xt.experience_text(F.col("text"), tx.section_blocks(F.col("body"), wanted), wanted).alias("work_text"),
+        )
+        each = lambda pattern, group: F.flatten(F.transform("work", lambda line: F.regexp_extract_all(line, F.lit(pattern), F.lit(group))))
+        told = told.select(
+            "*", each(V.PERIOD, 2).alias("ends"), xt.periods_of(F.col("work_text")).alias("periods"),
+            each(V.SITE_TAIL, 1).alias("tails"), xt.site_fragments(F.col("work_text")).alias("fragments"),
+            F.exists("work", lambda line: line.rlike(V.NO_ROLES)).alias("none"), F.col("work_text").rlike(tx.by_line(V.NO_ROLES)).alias("none_in"),
+        )
+        for r in told.collect():
+            assert r["body"] == "".join("\n" + line for line in r["lines"])
+            assert r["bullets_in"] == r["bullets"]
+            assert r["work_text"] == "".join("\n" + line for line in r["work"])
+            assert (r["periods"], r["fragments"], r["none_in"]) == (r["ends"], "\n".join(r["tails"]), r["none"])
+
+
+def test_phrase_tree_prefers_the_longer(spark):
+    vocabulary = {"a": ["aid", "aid at work", "aid (x)"], "b": ["ai", "c.p", "c.p. certified", "é"]}
+    texts = ["aid at work aid at ai", "aid (x) aids c.p. certifiedx c.p", "xaid é aid_ _ai ai-c.p. certified", ""]
+    plain = "|".join(re.escape(p) for p in sorted((p for ps in vocabulary.values() for p in ps), key=lambda p: -len(p)))
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", tx.entity_spans(F.col("t"), vocabulary).alias("s"))
+    for r in rows.collect():
+        assert r["s"] == list(dict.fromkeys(re.findall(rf"(?<!\w)(?:{plain})(?!\w)", r["t"])))
