@@ -248,3 +248,22 @@ def test_phrase_tree_prefers_the_longer(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", tx.entity_spans(F.col("t"), vocabulary).alias("s"))
     for r in rows.collect():
         assert r["s"] == list(dict.fromkeys(re.findall(rf"(?<!\w)(?:{plain})(?!\w)", r["t"])))
+
+
+def test_tasks_of_the_parser_do_not_grow(spark, monkeypatch, tmp_path):
+    """More orders make more tasks of the same length, where the number of cores was the limit before."""
+    from pairrank import session
+    from pairrank.plans import entities
+
+    spark.range(4000).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "1000.0 * id AS o_totalprice", "DATE'1995-01-01' AS o_orderdate",
+        "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(7).selectExpr(
+        "id AS c_custkey", "CAST(id AS INT) AS c_nationkey", "100.0 * id AS c_acctbal", "'BUILDING' AS c_mktsegment"
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(session, "ROWS_A_TASK", 50)
+    docs = entities.rendered(spark, str(tmp_path))
+    sizes = docs.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in sizes) == 4000
+    assert max(r["count"] for r in sizes) <= 100
