@@ -54,6 +54,27 @@ def reasons(spark, values):
     return df.select(ex.build_reasons(ex.ranked_contributions(), ex.total_effect()).alias("r")).first()["r"]
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_and_requirements_are_compiled(spark):
+    """A function with a lambda is interpreted, with all that stands in it."""
+    df = spark.createDataFrame([], "ranked ARRAY<STRUCT<feature: STRING, position: INT, value: DOUBLE, contribution: DOUBLE>>, total DOUBLE")
+    assert "lambda" not in optimized(df.select(ex.build_reasons(F.col("ranked"), F.col("total"))))
+    asked = "required_certifications ARRAY<STRING>, min_years_experience DOUBLE, shift_pattern STRING, site_type STRING, driving_required BOOLEAN"
+    df = spark.createDataFrame([], asked + ", " + ", ".join(f"{n} DOUBLE" for n in ft.FEATURE_NAMES))
+    assert "lambda" not in optimized(df.select(ex.requirement_states("g")))
+
+
+def test_more_than_five_reasons_and_none(spark):
+    got = reasons(spark, [1, 2, 3, 4, 5, 6, -7])
+    assert len(got) == 5 and got[0].endswith("against") and all(g.endswith("in favour") for g in got[1:])
+    assert reasons(spark, [0, 0]) == [ex.NO_FACTOR]
+    df = spark.createDataFrame([(None, None)], "ranked ARRAY<STRUCT<feature: STRING, position: INT, value: DOUBLE, contribution: DOUBLE>>, total DOUBLE")
+    assert df.select(ex.build_reasons(F.col("ranked"), F.col("total")).alias("r")).first()["r"] == []
+
+
 def test_reasons_take_five_then_drop_marginal(spark):
     got = reasons(spark, [10, -5, 3, 0.1, 0.1, 0.1])
     assert len(got) == 3
