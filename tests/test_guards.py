@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairrank.functions.text import strip
+from pairrank.operators import features as ft
 from pairrank.operators import guards as gd
 from pairrank.operators import intake as it
 from pairrank.operators import monitor as mo
+from pairrank.operators import ranking as rk
 from pairrank.operators import shortlist as sl
 
 
@@ -156,6 +158,36 @@ def test_csv_export(spark, tmp_path):
     assert written.decode() == "".join(line + "\r\n" for line in text)
 
 
+def test_lists_are_worked_out_once(spark, tmp_path):
+    spark.range(0, 90).select(
+        (F.col("id") % 3).alias("job_id"), F.col("id").alias("candidate_id"), (F.col("id") * 0.5).alias("score"),
+        F.lit(0).alias("n_gaps"), F.lit("n").alias("display_name"), F.lit("why").alias("reasons"),
+    ).write.parquet(str(tmp_path / "rows"))
+    ranked = rk.rank_within(spark.read.parquet(str(tmp_path / "rows")), ["job_id"], "score", ["candidate_id"], crowded=False)
+    lines = sl.shortlist_csv(ranked, "job_id", "v1", "r7")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and plan.count("Relation ") == 1
+    numbers = [(r["job_id"], r["line_no"]) for r in lines.orderBy("job_id", "line_no").collect()]
+    assert numbers == [(j, n) for j in range(3) for n in range(1, 35)]
+
+
+def test_explanations_are_made_after_the_exchange(spark, tmp_path, monkeypatch):
+    """What is ranked and named are numbers: no sentence or list of contributions travels."""
+    from pairrank.plans import q_explain
+
+    rows = [(1, c, 2, *[float(c % 4)] * 12) for c in range(8)]
+    names = ", ".join(f"{n} DOUBLE" for n in ft.FEATURE_NAMES)
+    made = spark.createDataFrame(rows, f"job_id BIGINT, candidate_id BIGINT, grade INT, {names}").withColumn("score", ft.baseline_score())
+    spark.createDataFrame([(c, f"c{c}", 1.0) for c in range(8)], "c_custkey BIGINT, c_name STRING, c_acctbal DOUBLE").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(q_explain, "scored", lambda *_: made.drop("grade"))
+    seen = []
+    ranking = rk.rank_within
+    monkeypatch.setattr(q_explain.rk, "rank_within", lambda df, *a, **k: seen.append(set(df.columns)) or ranking(df, *a, **k))
+    told = q_explain._full_shortlist(spark, str(tmp_path)).orderBy("rank").collect()
+    assert not {"contributions", "reasons"} & seen[0]
+    assert [r["rank"] for r in told] == list(range(1, 9)) and all(len(r["contributions"]) == 12 for r in told)
+
+
 def test_long_lists_are_split_into_numbered_files(spark, tmp_path):
     rows = [(j, n, f"{j} é {n}" if n % 7 else "") for j in ("a", "b/c=d", "", None) for n in range(1, 48)]
     rows[4] = ("a", 5, "one\r\ntwo")
