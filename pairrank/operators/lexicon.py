@@ -41,18 +41,41 @@ def entries(vocabulary: DataFrame, phrase: str = "phrase", code: str = "code", p
     )
 
 
-def _windows(words: Column, sizes: Column) -> Column:
-    """(hash, place, size, text) of every window of these sizes. Hashes only bring candidates together: texts are compared."""
-    def of_size(n: Column) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.struct(at.alias("at"), n.alias("n")))
-
-    return F.transform(
-        F.flatten(F.transform(sizes, of_size)),
-        lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), F.slice(words, w["at"] + 1, w["n"]).alias("words")),
+#: Tokens between two known places of a text.
+STRIDE = 32
+
+
+def _places(tokens: Column) -> Column:
+    """Characters before every ``STRIDE``-th token."""
+    return F.aggregate(
+        F.sequence(F.lit(0), (F.size(tokens) / STRIDE).cast("int")),
+        F.array(F.lit(0)),
+        lambda seen, k: F.array_append(
+            seen, F.element_at(seen, -1) + F.length(F.array_join(F.slice(tokens, k * STRIDE + 1, F.lit(STRIDE)), ""))
+        ),
     )
 
 
+def _windows(cut: DataFrame, row: str) -> DataFrame:
+    """(``row``, window, at, n, start) of all windows of ``sizes`` tokens between which and their neighbours no word is cut.
+
+    Places come out of plain generators and windows are plain columns: in a function with a lambda Spark would interpret them.
+    What stands before a window is counted from the last known place, not from the start of the text.
+    """
+    word = lambda c: F.coalesce(F.rlike(c, F.lit(WORD)), F.lit(False))
+    known = cut.withColumn("solid", F.transform("tokens", word)).withColumn("places", _places(F.col("tokens")))
+    sized = known.select(row, "tokens", "solid", "places", F.explode("sizes").alias("n")).where(F.size("tokens") >= F.col("n"))
+    placed = sized.select("*", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("n"))).alias("at"))
+    solid = lambda at: F.coalesce(F.get("solid", at), F.lit(False))
+    at, n = F.col("at"), F.col("n")
+    last = (at / STRIDE).cast("int")
+    rest = F.slice("tokens", last * STRIDE + 1, at - last * STRIDE)
+    return placed.where(~solid(at - 1) & ~solid(at + n)).select(
+        row, F.array_join(F.slice("tokens", at + 1, n), "").alias("window"), "at", "n",
+        (F.get("places", last) + F.length(F.array_join(rest, ""))).alias("start"),
+    )
+
+
 def phrase_hits(docs: DataFrame, row: str, canonical: Column, vocab: DataFrame) -> DataFrame:
     """Distinct (``row``, ``v_phrase``, ``v_code``): phrases on word boundaries of canonical text. ``row`` identifies a text."""
     listed = vocab.withColumn("v_words", F.split("v_phrase", " "))
@@ -93,13 +116,7 @@ def entity_spans(docs: DataFrame, row: str, text: Column, vocab: DataFrame) -> D
     ).select("v_span", F.col("last.v_code").alias("v_code"), tokens(F.col("v_span")).alias("v_tokens"))
     sizes = listed.agg(F.collect_set(F.size("v_tokens")).alias("sizes")).scalar()
     cut = docs.select(F.col(row), tokens(text).alias("tokens")).withColumn("sizes", sizes)
-    found = cut.select(row, "tokens", F.explode(_windows(F.col("tokens"), F.col("sizes"))).alias("w")).select(
-        row, F.array_join("w.words", "").alias("window"), "w.at", "w.n",
-        F.get("tokens", F.col("w.at") - 1).alias("before"), F.get("tokens", F.col("w.at") + F.col("w.n")).alias("behind"),
-        F.length(F.array_join(F.slice("tokens", F.lit(1), F.col("w.at")), "")).alias("start"),
-    )
-    word = lambda c: F.coalesce(F.rlike(c, F.lit(WORD)), F.lit(False))
-    hits = found.join(listed, F.col("window") == F.col("v_span")).where(~word(F.col("before")) & ~word(F.col("behind")))
+    hits = _windows(cut, row).join(listed, F.col("window") == F.col("v_span"))
     # One longest match for a place, then those that don't begin inside the one before.
     longest = hits.groupBy(row, "at").agg(F.max(F.struct("n", "start", "v_span", "v_code")).alias("m"))
     ordered = longest.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("all"))

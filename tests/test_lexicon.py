@@ -67,6 +67,20 @@ def test_entities_are_the_longest_from_left_to_right(spark):
         assert [tuple(s) for s in r["spans"]] == [(m.start(), m[0], entries[m[0]]) for m in found], texts[r["id"]]
 
 
+def test_places_in_long_texts(spark):
+    """Windows come out of plain generators, and a place is counted from the last known one."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["first aid", "firsts", "c++", " ", " ", "\n", "é"], k=n)) for n in (30, 31, 32, 33, 64, 65, 400, 3_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    found = lx.entity_spans(docs, "id", F.col("t"), vocab_of(spark, [("first aid", "fa", 0), ("c++", "cpp", 0)]))
+    assert "explode(transform" not in found._jdf.queryExecution().optimizedPlan().toString()
+    pattern = regex.compile(r"(?<![\p{L}\p{N}_])(?:first aid|c\+\+)(?![\p{L}\p{N}_])")
+    for r in found.collect():
+        want = [(m.start(), m[0]) for m in pattern.finditer(texts[r["id"]])]
+        assert [(s["start"], s["span"]) for s in r["spans"]] == want
+        assert want or len(texts[r["id"]]) < 200
+
+
 def test_the_longest_contained_entry_wins(spark):
     rng = random.Random(2)
     letters = "abc "
