@@ -72,7 +72,7 @@ def test_more_than_five_reasons_and_none(spark):
     assert len(got) == 5 and got[0].endswith("against") and all(g.endswith("in favour") for g in got[1:])
     assert reasons(spark, [0, 0]) == [ex.NO_FACTOR]
     df = spark.createDataFrame([(None, None)], "ranked ARRAY<STRUCT<feature: STRING, position: INT, value: DOUBLE, contribution: DOUBLE>>, total DOUBLE")
-    assert df.select(ex.build_reasons(F.col("ranked"), F.col("total")).alias("r")).first()["r"] == []
+    assert df.select(ex.build_reasons(F.col("ranked"), F.col("total")).alias("r")).first()["r"] is None
 
 
 def test_reasons_take_five_then_drop_marginal(spark):
