@@ -29,6 +29,8 @@ from pairrank.functions import text as tx
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 WORD = r"^[\p{L}\p{N}_]"
 GRAM = 3
+#: At every word the window that begins with it and has so many more words. Words are what stands between single blanks.
+WINDOW = r"(?<![^ ])(?=([^ ]*+(?: [^ ]*+){%d}+))[^ ]*+"
 
 
 def entries(vocabulary: DataFrame, phrase: str = "phrase", code: str = "code", place: str | None = None) -> DataFrame:
@@ -80,15 +82,10 @@ def phrase_hits(docs: DataFrame, row: str, canonical: Column, vocab: DataFrame)
     """Distinct (``row``, ``v_phrase``, ``v_code``): phrases on word boundaries of canonical text. ``row`` identifies a text."""
     listed = vocab.withColumn("v_words", F.split("v_phrase", " "))
     sizes = listed.agg(F.collect_set(F.size("v_words")).alias("sizes")).scalar()
-    words = docs.select(F.col(row), F.split(canonical, " ").alias("words")).withColumn("sizes", sizes)
-
-    def of_size(n: Column) -> Column:
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1))
-        longer = F.transform(starts, lambda at: F.array_join(F.slice("words", at, n), " "))
-        return F.coalesce(F.when(n == 1, F.col("words")).otherwise(longer), F.array().cast("array<string>"))
-
     # A text that repeats a phrase sends it once.
-    found = words.select(row, F.explode(F.array_distinct(F.flatten(F.transform("sizes", of_size)))).alias("window"))
+    sized = docs.select(F.col(row), canonical.alias("whole"), sizes.alias("sizes")).select(row, "whole", F.explode("sizes").alias("n"))
+    windows = F.regexp_extract_all("whole", F.format_string(WINDOW, F.col("n") - 1), F.lit(1))
+    found = sized.select(row, F.explode(F.array_distinct(windows)).alias("window"))
     return found.join(vocab, F.col("window") == F.col("v_phrase")).select(row, "v_phrase", "v_code").distinct()
 
 

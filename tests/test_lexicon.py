@@ -47,6 +47,19 @@ def test_phrases_on_word_boundaries(spark):
     assert {tuple(r["codes"]) for r in lx.tag_phrases(docs, "id", F.col("t"), vocab.limit(0)).collect()} == {()}
 
 
+def test_windows_are_compiled(spark):
+    """No function with a lambda, which Spark interprets, makes the windows; blanks and lengths are as in a split text."""
+    long = " ".join(["w"] * 20_000)
+    texts = [long, "a  b", " a b ", "a", "", None, "a\nb c", "é b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    vocab = vocab_of(spark, [(p, p[:9], 0) for p in (long, "a  b", "a", " ", "b ", "a b", "a\nb", "\nb", "é", "w w")])
+    hits = lx.phrase_hits(docs, "id", F.col("t"), vocab)
+    assert "lambda" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    phrases = [r["v_phrase"] for r in vocab.collect()]
+    want = {(k, p) for k, t in enumerate(texts) if t is not None for p in phrases if f" {p} " in f" {t} "}
+    assert {(r["id"], r["v_phrase"]) for r in hits.collect()} == want
+
+
 def test_more_phrases_than_a_plan_could_hold(spark):
     vocab = lx.entries(spark.range(5_000).select(F.concat(F.lit("w"), "id").alias("phrase"), F.col("id").cast("string").alias("code")))
     docs = spark.createDataFrame([(1, "w7 w4999 w5000 ww8")], "id INT, t STRING")
