@@ -8,6 +8,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pairrank.llm.common import add_fields
 #: White space as the vocabulary's normaliser sees it (fixed values).
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Distinct pieces remembered by a task, and characters whose new pieces are merged together.
-REMEMBERED, TOGETHER = 400_000, 4_000_000
+REMEMBERED, TOGETHER = 100_000, 2_000_000
+#: Texts of a batch that are Python strings at a time.
+AT_ONCE = 1_000
 #: Positions from which a rank is applied to all of them at once.
 MANY = 8
 
@@ -256,7 +259,8 @@ def encode_decode(df: DataFrame, text: str, tokenizer_path: str, keep: tuple[str
         codec = codec_of(spec.value)
         for batch in batches:
             counts, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for coded, decoded in codec.encode(batch.to_pylist()):
+            parts = (batch.slice(at, AT_ONCE).to_pylist() for at in range(0, len(batch), AT_ONCE))
+            for coded, decoded in chain.from_iterable(map(codec.encode, parts)):
                 counts.append(len(coded) // 4)
                 ids_sha.append(hashlib.sha256(coded).hexdigest())
                 text_sha.append(hashlib.sha256(decoded).hexdigest())

@@ -58,6 +58,17 @@ def test_encoder_on_rows(spark):
     assert bpe.encode_decode(df.limit(0), "text", VOCABULARY).count() == 0
 
 
+def test_a_codec_remembers_a_bounded_number_of_pieces():
+    with open(VOCABULARY, encoding="utf-8") as file:
+        codec = bpe.Codec(file.read())
+    most = 0
+    for part in range(5):
+        words = ["".join(chr(97 + int(c, 16)) for c in f"{k:x}") for k in range(part * 50_000, part * 50_000 + 50_000)]
+        assert sum(1 for _ in codec.encode([" ".join(words)])) == 1
+        most = max(most, len(codec.coded))
+    assert most < bpe.REMEMBERED + 60_000 < 200_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200))
 def test_native_words(text):
