@@ -13,7 +13,7 @@ from pairrank.operators import shortlist as sl
 from pairrank.plans.entities import PAIRS_SQL, POSTINGS_SQL, PROFILES_SQL, pairs, postings, profiles, table
 from pairrank.plans.q_pairs import _histogram_sql
 from pairrank.plans.registry import query
-from pairrank.session import scratch_path
+from pairrank.session import materialise, scratch_path
 from pairrank.sources import files as fl
 from pairrank.sources import tables as tb
 from pairrank.sources import versions as vs
@@ -267,7 +267,7 @@ _FILES_SQL = ", ".join(f"('{n}')" for n in FILE_NAMES)
 )
 def integrity_check(spark, sf_dir):
     """Files against a manifest that has lost one record, gained one and altered one."""
-    hashes = fl.hash_folder(spark, sf_dir, TABLES).drop("length")
+    hashes = materialise(fl.hash_folder(spark, sf_dir, TABLES).drop("length"), "hashes")  # every file is read once
     altered = hashes.where("filename <> 'nation.parquet'").select(
         "filename",
         F.when(F.col("filename") == "region.parquet", F.lit("0" * 64)).when(F.col("filename") == "part.parquet", None).otherwise(F.col("sha256")).alias("sha256"),
