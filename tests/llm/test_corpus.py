@@ -90,6 +90,12 @@ def test_links_are_complete(spark):
         simhash.links(df, 4)
 
 
+def test_links_are_never_broadcast(spark):
+    """A side of 64 variants a row is taken for as small as its rows before they are exploded."""
+    plan = simhash.links(spark.range(50).select(F.xxhash64("id").alias("fingerprint")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (100, 102)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
