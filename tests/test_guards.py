@@ -210,6 +210,17 @@ def test_long_lists_are_split_into_numbered_files(spark, tmp_path):
     assert sl.read_csv_lines(spark, nothing, "job_id").count() == 0
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_lines_of_lists_are_numbered_where_they_are_read(spark, tmp_path, compression):
+    rows = [("a", n, "" if n in (1, 25) else f"\r{n}\n") for n in range(1, 26)]
+    path = str(tmp_path / "lists")
+    sl.write_csv_lines(spark.createDataFrame(rows, "job_id STRING, line_no INT, line STRING").repartition(3), "job_id", path, 10, compression)
+    back = sl.read_csv_lines(spark, path, "job_id")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert sorted(map(tuple, back.collect())) == rows
+
+
 def test_drift_skips_nulls_and_single_values(spark):
     df = spark.createDataFrame([(1.0, None, None), (3.0, 5.0, None)], "a DOUBLE, b DOUBLE, c DOUBLE")
     got = {r["feature"]: (r["n"], r["mean"], r["stdev"]) for r in mo.feature_drift_snapshot(df, ["a", "b", "c"]).collect()}
